@@ -20,10 +20,10 @@ _NUMBER = r"^-?[0-9]"
 
 
 # Members read from the document, its payload and its source, each in one extraction.
-_BODY = "op:variant,ts_ms:variant,tenant_id:string,tenant:string,tenantId:string"
+_BODY = "op:string,ts_ms:variant,tenant_id:string,tenant:string,tenantId:string"
 DOCUMENT = (
-    f"struct<{_BODY},event_type:variant,type:variant,event_time:variant,timestamp_ms:variant,ts:variant,"
-    "user_id:variant,userId:variant,user:string,service_name:variant,service:string>"
+    f"struct<{_BODY},event_type:string,type:string,event_time:variant,timestamp_ms:variant,ts:variant,"
+    "user_id:string,userId:string,user:string,service_name:string,service:string>"
 )
 PAYLOAD = f"struct<{_BODY}>"
 SOURCE = (
@@ -61,68 +61,71 @@ def seconds_timestamp(seconds: Column) -> Column:
 
 
 def explicit_time(doc: Column, body: Column) -> Column:
-    """The explicit time as VARIANT: payload stamp, else ``event_time``."""
-    return F.coalesce(V.first_given(body["ts_ms"]), doc["event_time"])
+    """Canonical JSON of the explicit time: payload stamp, else ``event_time``."""
+    return F.coalesce(V.nonempty(F.to_json(body["ts_ms"])), F.to_json(doc["event_time"]))
 
 
 def time_stamp(doc: Column) -> Column:
-    """The stamp used when the explicit time is missing or unreadable, as VARIANT."""
-    return V.first_given(doc["ts_ms"], doc["timestamp_ms"], doc["ts"])
+    """Canonical JSON of the stamp used when the explicit time is missing or unreadable."""
+    return F.coalesce(*(V.nonempty(F.to_json(doc[n])) for n in ("ts_ms", "timestamp_ms", "ts")))
 
 
-def stated_time(explicit: Column, stamp: Column) -> Column:
-    """Stated time as a struct: ISO timestamp, or epoch seconds, or neither.
+def iso_part(explicit: Column) -> Column:
+    """ISO time, which only a JSON string can hold."""
+    return F.when(explicit.startswith('"'), iso_timestamp(F.trim(explicit, F.lit('"'))))
 
-    ISO text counts only as a JSON string, epochs only as a JSON number.
-    """
-    kind, value = F.to_json(explicit), V.text_of(explicit)
-    return F.struct(
-        F.when(kind.startswith('"'), iso_timestamp(value)).alias("iso"),
-        F.when(kind.rlike(_NUMBER), epoch_seconds(value)).alias("seconds"),
-        F.when(F.to_json(stamp).rlike(_NUMBER), epoch_seconds(V.text_of(stamp))).alias("stamp"),
+
+def epoch_part(explicit: Column, stamp: Column) -> Column:
+    """Epoch seconds, which only a JSON number can hold."""
+    return F.coalesce(
+        F.when(explicit.rlike(_NUMBER), epoch_seconds(explicit)),
+        F.when(stamp.rlike(_NUMBER), epoch_seconds(stamp)),
     )
 
 
-def event_time(stated: Column, arrival: Column) -> Column:
+def event_time(iso: Column, seconds: Column, arrival: Column) -> Column:
     """Stated time, else the broker's record time (deterministic on redelivery)."""
-    return F.coalesce(
-        stated["iso"],
-        seconds_timestamp(F.coalesce(stated["seconds"], stated["stamp"])),
-        arrival,
-    )
+    return F.coalesce(iso, seconds_timestamp(seconds), arrival)
 
 
-def time_error(stated: Column) -> Column:
+def time_error(iso: Column, seconds: Column) -> Column:
     """Message for an epoch number outside years 1 to 9999, else NULL."""
-    seconds = F.coalesce(stated["seconds"], stated["stamp"])
-    outside = stated["iso"].isNull() & ~seconds.between(MIN_SECONDS, MAX_SECONDS)
+    outside = iso.isNull() & ~seconds.between(MIN_SECONDS, MAX_SECONDS)
     return F.when(outside, F.lit("event time out of range"))
 
 
-def event_type(doc: Column, body: Column) -> Column:
-    found = V.first_given(doc["event_type"], doc["type"], doc["op"], body["op"])
-    return F.coalesce(V.text_of(found), F.lit(UNKNOWN))
+def event_type(json: Column, doc: Column, op: Column) -> Column:
+    return F.coalesce(
+        V.given(doc["event_type"], json, "$.event_type"),
+        V.given(doc["type"], json, "$.type"),
+        op,
+        F.lit(UNKNOWN),
+    )
+
+
+def operation_code(json: Column, doc: Column, body: Column) -> Column:
+    return F.coalesce(V.given(doc["op"], json, "$.op"), V.given(body["op"], json, "$.payload.op"))
 
 
-def user_id(doc: Column) -> Column:
-    return F.coalesce(V.text_of(V.first_given(doc["user_id"], doc["userId"])), doc["user"])
+def user_id(json: Column, doc: Column) -> Column:
+    return F.coalesce(
+        V.given(doc["user_id"], json, "$.user_id"), V.given(doc["userId"], json, "$.userId"), doc["user"]
+    )
 
 
 def source_service(source: Column) -> Column:
     return V.first_filled(source["name"], source["server"])
 
 
-def service_name(doc: Column, source: Column) -> Column:
+def service_name(json: Column, doc: Column, source: Column) -> Column:
     return F.coalesce(
-        V.text_of(V.first_given(doc["service_name"])), doc["service"], source_service(source)
+        V.given(doc["service_name"], json, "$.service_name"), doc["service"], source_service(source)
     )
 
 
-def operation(doc: Column, body: Column) -> Column:
+def operation(code: Column) -> Column:
     """INSERT, UPDATE or DELETE; anything unrecognised is an UPDATE."""
-    op = V.text_of(V.first_given(doc["op"], body["op"]))
-    names = F.create_map(F.lit("c"), F.lit("INSERT"), F.lit("r"), F.lit("INSERT"), F.lit("d"), F.lit("DELETE"))
-    return F.coalesce(F.try_element_at(names, op), F.lit("UPDATE"))
+    return F.when(code.isin("c", "r"), "INSERT").when(code == "d", "DELETE").otherwise("UPDATE")
 
 
 def canonical_service(topic: Column, parsed: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # JSON texts that count as "not given" in a chain of alternatives.
 EMPTY_JSON = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
+# The same as texts, without the quotes of a string.
+EMPTY_TEXT = ("", "0", "0.0", "-0.0", "false", "[]", "{}")
 
 ROW_TYPE = "map<string,variant>"
 
@@ -41,8 +43,7 @@ def as_row(v: Column, name: str) -> Column:
 
 def given_json(v: Column, name: str) -> Column:
     """Canonical JSON of a member, NULL when empty, zero, false or null."""
-    found = json(v, name)
-    return F.when(~found.isin(*EMPTY_JSON), found)
+    return nonempty(json(v, name))
 
 
 def given_text(v: Column, name: str) -> Column:
@@ -50,14 +51,19 @@ def given_text(v: Column, name: str) -> Column:
     return F.when(given_json(v, name).isNotNull(), text(v, name))
 
 
-def first_given(*variants: Column) -> Column:
-    """First VARIANT that is not empty, zero, false or null.
+def nonempty(json_text: Column) -> Column:
+    """Canonical JSON, NULL when it denotes something empty, zero, false or null."""
+    return F.when(~json_text.isin(*EMPTY_JSON), json_text)
 
-    An array filter rather than a chain of conditions: one small loop in place of generated code
-    that grows with every alternative.
+
+def given(value: Column, document: Column, at: str) -> Column:
+    """Already extracted text of a member, NULL when empty, zero, false or null.
+
+    Only a text that looks empty is looked up again, to tell the string "0" from the number 0.
     """
-    given = F.filter(F.array(*variants), lambda v: ~F.to_json(v).isin(*EMPTY_JSON))
-    return F.try_element_at(given, F.lit(1))
+    looks_empty = value.isin(*EMPTY_TEXT)
+    is_string = F.to_json(F.try_variant_get(document, at, "variant")).startswith('"')
+    return F.when(~looks_empty, value).when((value != "") & is_string, value)
 
 
 def text_of(v: Column) -> Column:
@@ -67,8 +73,7 @@ def text_of(v: Column) -> Column:
 
 def first_filled(*texts: Column) -> Column:
     """First text that is not blank, trimmed."""
-    trimmed = F.transform(F.array(*texts), lambda t: F.trim(t))
-    return F.try_element_at(F.filter(trimmed, lambda t: t != ""), F.lit(1))
+    return F.coalesce(*(F.when(F.trim(t) != "", F.trim(t)) for t in texts))
 
 
 def parse_json(raw: Column) -> Column:

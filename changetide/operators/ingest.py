@@ -43,21 +43,33 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     )
     doc, body, source = F.col("_doc"), F.col("_body"), F.col("_source")
     wrapped = F.to_variant_object(F.struct(json.alias("data")))
-    fields = V.computed(
+    op, iso, seconds = F.col("_op"), F.col("_iso"), F.col("_seconds")
+    # Several short steps: one long one would exceed what the JVM compiles to machine code.
+    origins = V.computed(
         extracted,
-        event_type=F.when(json.isNull(), parsing.UNPARSED).otherwise(parsing.event_type(doc, body)),
-        user_id=parsing.user_id(doc),
-        parsed_service=parsing.service_name(doc, source),
-        operation=parsing.operation(doc, body),
-        tenant_id=parsing.tenant_id(doc, body),
+        parsed_service=parsing.service_name(json, doc, source),
         coordinates=origin.coordinates(source),
         event_data=F.when(doc.isNotNull(), json).when(json.isNotNull(), wrapped),
-        _stated=parsing.stated_time(parsing.explicit_time(doc, body), parsing.time_stamp(doc)),
+    )
+    times = V.computed(
+        origins,
+        _op=parsing.operation_code(json, doc, body),
+        _explicit=parsing.explicit_time(doc, body),
+        _stamp=parsing.time_stamp(doc),
+        tenant_id=parsing.tenant_id(doc, body),
+    )
+    fields = V.computed(
+        times,
+        event_type=F.when(json.isNull(), parsing.UNPARSED).otherwise(parsing.event_type(json, doc, op)),
+        user_id=parsing.user_id(json, doc),
+        _iso=parsing.iso_part(F.col("_explicit")),
+        _seconds=parsing.epoch_part(F.col("_explicit"), F.col("_stamp")),
     ).withColumns(
         {
-            "event_time": parsing.event_time(F.col("_stated"), F.col("timestamp")),
+            "operation": parsing.operation(op),
+            "event_time": parsing.event_time(iso, seconds, F.col("timestamp")),
             "error": F.when(~F.col("_readable"), F.lit("invalid UTF-8")).otherwise(
-                parsing.time_error(F.col("_stated"))
+                parsing.time_error(iso, seconds)
             ),
         }
     )

@@ -1,2 +1,304 @@
-from workload.samples import Registry
+"""Event search, paging, statistics, feeds, dedupe."""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
+from changetide.functions import parsing, signing
+from changetide.operators import dedupe, feed, ingest, search
+from changetide.sources import files
+from workload.samples import (
+    CDC,
+    Registry,
+    events,
+    messages,
+    millis,
+    parsed,
+    redelivered,
+    stored,
+    table,
+)
+
 queries = Registry()
+
+
+@queries.add(
+    "events_search",
+    CDC
+    + """SELECT event_id AS "offset", op AS event_type, ms AS event_ms FROM g
+WHERE op = 'c' AND event_type = 'purchase' AND ms BETWEEN 1704412800000 AND 1705276800000""",
+)
+def events_search(spark, sf):
+    """Service, type and closed time range, then one table."""
+    rows = search.search_events(
+        stored(spark, sf),
+        service_name="eventdb",
+        event_type="c",
+        start=datetime(2024, 1, 5, tzinfo=timezone.utc),
+        end=datetime(2024, 1, 15, tzinfo=timezone.utc),
+    )
+    return rows.where("table_name = 'public.purchase'").select(
+        "offset", "event_type", millis("event_time", "event_ms")
+    )
+
+
+@queries.add("events_ilike", CDC + """SELECT event_id AS "offset" FROM g WHERE event_type = 'purchase'""")
+def events_ilike(spark, sf):
+    """Text search ignores case, and an underscore matches any character."""
+    return search.search_events(stored(spark, sf), term='TABLE":"PUR_HASE"').select("offset")
+
+
+@queries.add(
+    "documents_ilike",
+    r"""SELECT doc_id, lang FROM documents WHERE text ILIKE '%data%set%' OR text ILIKE '%100\%%' ESCAPE '\'""",
+)
+def documents_ilike(spark, sf):
+    """Text search over whole texts, with wildcards and with literal characters."""
+    rows = table(spark, sf, "documents").withColumn("raw_payload", F.col("text"))
+    wild = search.search_events(rows, term="DATA%set")
+    literal = search.search_events(rows, term="100%", escape=True)
+    return wild.unionByName(literal).select("doc_id", "lang").distinct()
+
+
+@queries.add(
+    "events_page",
+    CDC + """SELECT event_id AS "offset", op AS event_type FROM g ORDER BY ms DESC, event_id DESC LIMIT 100 OFFSET 50""",
+)
+def events_page(spark, sf):
+    return search.newest_first(stored(spark, sf), limit=100, offset=50).select("offset", "event_type")
+
+
+@queries.add(
+    "events_keyset",
+    CDC
+    + """SELECT event_id AS "offset", op AS event_type FROM g
+WHERE ms < 1705276800123 OR (ms = 1705276800123 AND event_id < 5000)
+ORDER BY ms DESC, event_id DESC LIMIT 100""",
+)
+def events_keyset(spark, sf):
+    at = datetime(2024, 1, 15, 0, 0, 0, 123000, tzinfo=timezone.utc)
+    page = search.keyset_page(stored(spark, sf), search.Cursor(at, (5000, 0, "")), limit=100)
+    return page.select("offset", "event_type")
+
+
+@queries.add(
+    "events_id_cursor",
+    """SELECT event_id AS "offset" FROM events WHERE event_id < 3000 ORDER BY ts DESC, event_id DESC LIMIT 25""",
+)
+def events_id_cursor(spark, sf):
+    """A cursor without a time pages by id alone."""
+    rows = events(spark, sf).select(F.col("event_id").alias("offset"), F.col("ts").alias("capture_time"))
+    return search.keyset_page(rows, search.Cursor(None, (3000,)), position=("offset",), limit=25).select("offset")
+
+
+@queries.add(
+    "record_timeline",
+    CDC
+    + """SELECT event_id AS "offset", operation FROM g WHERE user_id = 33 ORDER BY ms DESC, event_id DESC LIMIT 8""",
+)
+def record_timeline(spark, sf):
+    rows = search.search_events(stored(spark, sf), row_identity='{"id": 33}')
+    return search.newest_first(rows, limit=8).select("offset", "operation")
+
+
+@queries.add("filtered_total", CDC + "SELECT count(*) AS total FROM g WHERE op = 'u'")
+def filtered_total(spark, sf):
+    return search.total(search.search_events(stored(spark, sf), event_type="u"))
+
+
+_STATS = """SELECT 'service' AS dimension, service AS value, count(*) AS n FROM v GROUP BY service
+UNION ALL SELECT 'type', type, count(*) FROM v GROUP BY type
+UNION ALL SELECT 'operation', operation, count(*) FROM v GROUP BY operation
+UNION ALL SELECT 'total', 'all', count(*) FROM v"""
+
+
+def _services(spark, sf):
+    return events(spark, sf).select(
+        F.expr("CASE WHEN event_id % 50 = 0 THEN NULL ELSE concat('t', user_id % 3) END").alias("service_name"),
+        F.expr("CASE WHEN event_id % 40 = 0 THEN '' ELSE event_type END").alias("event_type"),
+        parsing.operation(F.col("op")).alias("operation"),
+    )
+
+
+_SERVICES = """, v AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'unknown' ELSE 't' || user_id % 3 END AS service,
+  CASE WHEN event_id % 40 = 0 THEN 'unknown' ELSE event_type END AS type, operation FROM c {where})
+"""
+
+
+@queries.add("event_stats", CDC + _SERVICES.format(where="") + _STATS)
+def event_stats(spark, sf):
+    """Counts by service, type and operation and the total; missing keys are unknown."""
+    return search.event_stats(_services(spark, sf))
+
+
+@queries.add(
+    "tenant_stats",
+    CDC + _SERVICES.format(where="WHERE event_id % 50 <> 0 AND user_id % 3 = 1") + _STATS,
+)
+def tenant_stats(spark, sf):
+    return search.event_stats(_services(spark, sf), tenant="t1")
+
+
+@queries.add(
+    "tenant_scope",
+    "SELECT event_id FROM events WHERE user_id % 3 = 2",
+)
+def tenant_scope(spark, sf):
+    rows = events(spark, sf).withColumn("service_name", F.expr("concat('t', user_id % 3)"))
+    return search.tenant_scope(rows, "t2", requested="t2").select("event_id")
+
+
+def _feed(spark, sf):
+    """Feed rows with one service per tenant."""
+    rows = stored(spark, sf).withColumn("service_name", F.col("tenant_id"))
+    return feed.feed_rows(rows)
+
+
+@queries.add(
+    "tenant_feed",
+    CDC
+    + """SELECT event_id AS "offset", '{"id":{"topic":"' || topic || '","partition":' || part || ',"offset":' || event_id ||
+  '},"event_type":"' || op || '"' AS head FROM g WHERE user_id % 3 = 1""",
+)
+def tenant_feed(spark, sf):
+    """Messages one tenant's subscriber receives."""
+    rows = feed.feed_for(_feed(spark, sf), "t1")
+    head = F.regexp_extract("body", r'^\{"type":"new_event","event":(.*?"event_type":"[a-z]+")', 1)
+    return rows.select("offset", head.alias("head"))
+
+
+@queries.add(
+    "feed_fan_out",
+    CDC
+    + """SELECT subscriber, count(*) AS n, sum(event_id) AS offsets
+FROM g JOIN (SELECT s_name AS subscriber, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 't' || s_suppkey % 4 END AS tenant
+  FROM supplier WHERE s_nationkey < 5) s ON s.tenant IS NULL OR s.tenant = 't' || user_id % 3
+GROUP BY subscriber""",
+)
+def feed_fan_out(spark, sf):
+    """Every subscriber gets its tenant's events, one without a tenant gets all."""
+    listeners = table(spark, sf, "supplier").where("s_nationkey < 5").select(
+        F.col("s_name").alias("subscriber"),
+        F.expr("CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE concat('t', s_suppkey % 4) END").alias("tenant"),
+    )
+    sent = feed.fan_out(_feed(spark, sf).drop("body"), listeners)
+    return sent.groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))
+
+
+@queries.add("feed_distinct", CDC + """SELECT event_id AS "offset" FROM c""")
+def feed_distinct(spark, sf):
+    return feed.distinct_feed(redelivered(messages(spark, sf))).select("offset")
+
+
+@queries.add("notified_events", CDC + """SELECT event_id AS "offset" FROM g WHERE event_id % 10 = 0""")
+def notified_events(spark, sf):
+    notices = messages(spark, sf).where("offset % 10 = 0").select("topic", "partition", "offset")
+    return feed.notified_events(stored(spark, sf), notices).select("offset")
+
+
+@queries.add(
+    "signed_deliveries",
+    r"""WITH k AS (SELECT 'public-sample-key' AS s),
+p AS (SELECT string_agg(chr(CAST(xor(CASE WHEN i <= length(s) THEN ascii(substr(s, i, 1)) ELSE 0 END, 54) AS INTEGER)), '' ORDER BY i) AS ipad,
+  string_agg(chr(CAST(xor(CASE WHEN i <= length(s) THEN ascii(substr(s, i, 1)) ELSE 0 END, 92) AS INTEGER)), '' ORDER BY i) AS opad
+  FROM k, range(1, 65) t(i))
+SELECT doc_id, 'sha256=' || sha256(encode(opad) || unhex(sha256(encode(ipad) || encode(text)))) AS signature FROM documents, p""",
+)
+def signed_deliveries(spark, sf):
+    """HMAC-SHA256 of whole texts."""
+    docs = table(spark, sf, "documents")
+    signed = feed.deliveries(docs.withColumn("body", F.col("text")), "public-sample-key")
+    return signed.select("doc_id", F.col("headers")["X-Signature"].alias("signature"))
+
+
+@queries.add(
+    "dedupe_positions",
+    CDC + "SELECT topic, count(*) AS n, sum(event_id) AS offsets FROM c GROUP BY topic",
+)
+def dedupe_positions(spark, sf):
+    rows = dedupe.distinct_positions(redelivered(messages(spark, sf)))
+    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))
+
+
+@queries.add(
+    "dedupe_without_position",
+    """SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS "offset",
+  CASE WHEN event_id % 3 = 0 AND event_id % 10 = 0 THEN 2 * count(*) ELSE count(*) END AS n
+FROM events GROUP BY event_id""".replace(
+        "SELECT CASE", "SELECT \"offset\", sum(n) AS n FROM (SELECT CASE", 1
+    )
+    + ') GROUP BY "offset"',
+)
+def dedupe_without_position(spark, sf):
+    """Rows without a full position never conflict."""
+    rows = redelivered(messages(spark, sf)).withColumn(
+        "offset", F.expr("CASE WHEN offset % 3 = 0 THEN NULL ELSE offset END")
+    )
+    return dedupe.distinct_positions(rows).groupBy("offset").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+
+
+@queries.add(
+    "insert_ignore",
+    CDC + """SELECT event_id AS "offset", op AS event_type FROM g WHERE event_id % 4 <> 0""",
+)
+def insert_ignore(spark, sf):
+    """Rows of a batch with repeats whose position is not stored yet."""
+    rows = stored(spark, sf)
+    return dedupe.new_positions(redelivered(rows), rows.where("offset % 4 = 0")).select("offset", "event_type")
+
+
+@queries.add(
+    "inserted_events",
+    CDC + """SELECT event_id AS "offset" FROM m WHERE event_id % 4 <> 0""",
+)
+def inserted_events(spark, sf):
+    rows = parsed(spark, sf)
+    inserted = dedupe.new_positions(rows, rows.where("offset % 4 = 0"))
+    return dedupe.inserted_events(rows, inserted).select("offset")
+
+
+@queries.add(
+    "ingestion_latency",
+    CDC
+    + """SELECT event_id, round((epoch_us(ts) - ms * 1000 + (event_id % 7 - 2) * 1000000) / 1000000.0, 6) AS latency_seconds
+FROM c WHERE epoch_us(ts) - ms * 1000 + (event_id % 7 - 2) * 1000000 >= 0""",
+)
+def ingestion_latency(spark, sf):
+    """Latency in seconds; negative samples are left out."""
+    rows = events(spark, sf).select(
+        "event_id",
+        F.timestamp_millis(F.unix_millis("ts")).alias("event_time"),
+        F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 7 - 2) * 1_000_000).alias("ingested_at"),
+    )
+    return search.ingestion_latency(rows).select("event_id", F.round("latency_seconds", 6).alias("latency_seconds"))
+
+
+@queries.add(
+    "month_partitions",
+    """SELECT strftime(o_orderdate, '%Y%m') AS month, count(*) AS n FROM orders GROUP BY 1""",
+)
+def month_partitions(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return files.partition_by_month(rows, "o_orderdate").groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@queries.add(
+    "fallback_events",
+    CDC
+    + """SELECT event_id AS "offset", 'unparsed' AS event_type, 'eventdb' AS service_name, 'UNKNOWN' AS operation FROM c""",
+)
+def fallback_events(spark, sf):
+    return ingest.fallback_event(messages(spark, sf)).select("offset", "event_type", "service_name", "operation")
+
+
+@queries.add(
+    "hmac_of_keys",
+    None,
+)
+def hmac_of_keys(spark, sf):
+    """HMAC under a key longer than a hash block."""
+    return table(spark, sf, "customer").select(
+        "c_custkey", signing.hmac_sha256(F.col("c_name"), "k" * 100).alias("signature")
+    )
