@@ -2,51 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changetide.functions import values as V
 
 
-def coordinates(source: Column) -> Column:
-    """Service, database, namespace and table of a source; NULL without a table."""
+def coordinates(source: Mapping[str, Column]) -> dict[str, Column]:
+    """Service, database, namespace and table of a source; all NULL without a table."""
     table = V.first_filled(source["table"], source["collection"])
-    return F.when(
-        table.isNotNull(),
-        F.struct(
-            V.first_filled(source["name"], source["server"]).alias("service_name"),
-            V.first_filled(source["db"], source["database"], source["catalog"]).alias("database_name"),
-            V.first_filled(source["schema"], source["schema_name"]).alias("namespace_name"),
-            table.alias("raw_table"),
-        ),
-    )
+    parts = {
+        "source_service": V.first_filled(source["name"], source["server"]),
+        "source_database": V.first_filled(source["db"], source["database"], source["catalog"]),
+        "source_namespace": V.first_filled(source["schema"], source["schema_name"]),
+        "source_table": table,
+    }
+    return {name: F.when(table.isNotNull(), part) for name, part in parts.items()}
 
 
-def qualified_table(coords: Column) -> Column:
+def qualified_table(namespace: Column, table: Column) -> Column:
     """``namespace.table``, or the bare table without a namespace."""
-    return F.when(
-        coords.isNotNull(), F.concat_ws(".", coords["namespace_name"], coords["raw_table"])
-    )
+    return F.when(table.isNotNull(), F.concat_ws(".", namespace, table))
 
 
-def filter_names(coords: Column) -> Column:
+def filter_names(database: Column, namespace: Column, table: Column) -> Column:
     """Names a table filter may use, plain and prefixed by the database."""
-    plain, qualified, db = coords["raw_table"], qualified_table(coords), coords["database_name"]
-    return F.when(
-        coords.isNotNull(),
-        F.array_distinct(
-            F.array_compact(
-                F.array(plain, qualified, F.concat(db, F.lit("."), plain), F.concat(db, F.lit("."), qualified))
-            )
-        ),
+    qualified = qualified_table(namespace, table)
+    names = F.array(
+        table, qualified, F.concat(database, F.lit("."), table), F.concat(database, F.lit("."), qualified)
     )
+    return F.when(table.isNotNull(), F.array_distinct(F.array_compact(names)))
 
 
-def catalog_service(topic: Column, coords: Column) -> Column:
+def catalog_service(topic: Column, source_service: Column) -> Column:
     """Service under which a table is catalogued: topic prefix wins."""
     return F.coalesce(
         F.nullif(F.split_part(topic, F.lit("."), F.lit(1)), F.lit("")),
-        coords["service_name"],
+        source_service,
         F.lit("unknown"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MILLIS_ABOVE = 10_000_000_000
 MIN_SECONDS = -62_135_596_800
 MAX_SECONDS = 253_402_300_799
 
+Members = Mapping[str, Column]
+
 UNKNOWN = "unknown"
 UNPARSED = "unparsed"
 
@@ -60,12 +64,12 @@ def seconds_timestamp(seconds: Column) -> Column:
     return F.when(inside, F.timestamp_micros(F.round(seconds * 1_000_000.0).try_cast("bigint")))
 
 
-def explicit_time(doc: Column, body: Column) -> Column:
+def explicit_time(doc: Members, body: Members) -> Column:
     """Canonical JSON of the explicit time: payload stamp, else ``event_time``."""
     return F.coalesce(V.nonempty(F.to_json(body["ts_ms"])), F.to_json(doc["event_time"]))
 
 
-def time_stamp(doc: Column) -> Column:
+def time_stamp(doc: Members) -> Column:
     """Canonical JSON of the stamp used when the explicit time is missing or unreadable."""
     return F.coalesce(*(V.nonempty(F.to_json(doc[n])) for n in ("ts_ms", "timestamp_ms", "ts")))
 
@@ -94,7 +98,7 @@ def time_error(iso: Column, seconds: Column) -> Column:
     return F.when(outside, F.lit("event time out of range"))
 
 
-def event_type(json: Column, doc: Column, op: Column) -> Column:
+def event_type(json: Column, doc: Members, op: Column) -> Column:
     return F.coalesce(
         V.given(doc["event_type"], json, "$.event_type"),
         V.given(doc["type"], json, "$.type"),
@@ -103,21 +107,21 @@ def event_type(json: Column, doc: Column, op: Column) -> Column:
     )
 
 
-def operation_code(json: Column, doc: Column, body: Column) -> Column:
+def operation_code(json: Column, doc: Members, body: Members) -> Column:
     return F.coalesce(V.given(doc["op"], json, "$.op"), V.given(body["op"], json, "$.payload.op"))
 
 
-def user_id(json: Column, doc: Column) -> Column:
+def user_id(json: Column, doc: Members) -> Column:
     return F.coalesce(
         V.given(doc["user_id"], json, "$.user_id"), V.given(doc["userId"], json, "$.userId"), doc["user"]
     )
 
 
-def source_service(source: Column) -> Column:
+def source_service(source: Members) -> Column:
     return V.first_filled(source["name"], source["server"])
 
 
-def service_name(json: Column, doc: Column, source: Column) -> Column:
+def service_name(json: Column, doc: Members, source: Members) -> Column:
     return F.coalesce(
         V.given(doc["service_name"], json, "$.service_name"), doc["service"], source_service(source)
     )
@@ -137,7 +141,7 @@ def canonical_service(topic: Column, parsed: Column) -> Column:
     )
 
 
-def tenant_id(doc: Column, body: Column) -> Column:
+def tenant_id(doc: Members, body: Members) -> Column:
     names = ("tenant_id", "tenant", "tenantId")
     return V.first_filled(*(part[n] for part in (doc, body) for n in names))
 

@@ -76,6 +76,22 @@ def first_filled(*texts: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(t) != "", F.trim(t)) for t in texts))
 
 
+def members(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Unfold a struct column into plain columns, and name them.
+
+    Members referenced inside a later :func:`computed` must be plain columns: the optimizer moves
+    struct members below generators and then misses columns that are still needed above.
+    """
+    names = [part.split(":")[0] for part in kind.removeprefix("struct<").removesuffix(">").split(",")]
+    plain = {name: f"{column}_{name}" for name in names}
+    unfolded = df.select(
+        *(c for c in df.columns if c != column),
+        F.col(column).isNotNull().alias(f"{column}_found"),
+        *(F.col(column)[name].alias(alias) for name, alias in plain.items()),
+    )
+    return unfolded, {name: F.col(alias) for name, alias in plain.items()}
+
+
 def parse_json(raw: Column) -> Column:
     """Parse to VARIANT; text that is not JSON gives NULL."""
     return F.try_parse_json(raw)

@@ -41,15 +41,18 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             F.try_variant_get(json, "$.payload.source", parsing.SOURCE),
         ),
     )
-    doc, body, source = F.col("_doc"), F.col("_body"), F.col("_source")
+    extracted, doc = V.members(extracted, "_doc", parsing.DOCUMENT)
+    extracted, body = V.members(extracted, "_body", parsing.PAYLOAD)
+    extracted, source = V.members(extracted, "_source", parsing.SOURCE)
+    is_object = F.col("_doc_found")
     wrapped = F.to_variant_object(F.struct(json.alias("data")))
     op, iso, seconds = F.col("_op"), F.col("_iso"), F.col("_seconds")
     # Several short steps: one long one would exceed what the JVM compiles to machine code.
     origins = V.computed(
         extracted,
         parsed_service=parsing.service_name(json, doc, source),
-        coordinates=origin.coordinates(source),
-        event_data=F.when(doc.isNotNull(), json).when(json.isNotNull(), wrapped),
+        event_data=F.when(is_object, json).when(json.isNotNull(), wrapped),
+        **origin.coordinates(source),
     )
     times = V.computed(
         origins,
@@ -73,7 +76,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             ),
         }
     )
-    coords = F.col("coordinates")
+    namespace, bare = F.col("source_namespace"), F.col("source_table")
     kept = [c for c in messages.columns if c != "value"]
     return fields.select(
         *kept,
@@ -84,10 +87,13 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         parsing.canonical_service(F.col("topic"), F.col("parsed_service")).alias("service_name"),
         "operation",
         "tenant_id",
-        "coordinates",
-        origin.catalog_service(F.col("topic"), coords).alias("catalog_service"),
-        F.coalesce(coords["database_name"], F.lit("unknown")).alias("database_name"),
-        origin.qualified_table(coords).alias("table_name"),
+        "source_service",
+        "source_database",
+        "source_namespace",
+        "source_table",
+        origin.catalog_service(F.col("topic"), F.col("source_service")).alias("catalog_service"),
+        F.coalesce("source_database", F.lit("unknown")).alias("database_name"),
+        origin.qualified_table(namespace, bare).alias("table_name"),
         "event_data",
         "raw_payload",
         F.col("event_time").alias("capture_time"),
@@ -157,13 +163,15 @@ def filter_tables(
     events: DataFrame, allowed: Sequence[str] = (), ignored: Sequence[str] = ()
 ) -> DataFrame:
     """Allow and deny lists over every name a table goes by; no source passes."""
-    names = origin.filter_names(F.col("coordinates"))
+    names = origin.filter_names(
+        F.col("source_database"), F.col("source_namespace"), F.col("source_table")
+    )
     passes = F.lit(True)
     if allowed:
         passes = passes & F.arrays_overlap(names, F.array(*map(F.lit, allowed)))
     if ignored:
         passes = passes & ~F.arrays_overlap(names, F.array(*map(F.lit, ignored)))
-    return events.where(F.col("coordinates").isNull() | passes)
+    return events.where(F.col("source_table").isNull() | passes)
 
 
 def require_fields(events: DataFrame, required: Sequence[str] = ()) -> DataFrame:

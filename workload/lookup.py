@@ -52,13 +52,13 @@ def events_ilike(spark, sf):
 
 @queries.add(
     "documents_ilike",
-    r"""SELECT doc_id, lang FROM documents WHERE text ILIKE '%data%set%' OR text ILIKE '%100\%%' ESCAPE '\'""",
+    r"""SELECT doc_id, lang FROM documents WHERE text ILIKE '%lic_nse%granted%' OR text ILIKE '%\%%' ESCAPE '\'""",
 )
 def documents_ilike(spark, sf):
     """Text search over whole texts, with wildcards and with literal characters."""
     rows = table(spark, sf, "documents").withColumn("raw_payload", F.col("text"))
-    wild = search.search_events(rows, term="DATA%set")
-    literal = search.search_events(rows, term="100%", escape=True)
+    wild = search.search_events(rows, term="LIC_NSE%granted")
+    literal = search.search_events(rows, term="%", escape=True)
     return wild.unionByName(literal).select("doc_id", "lang").distinct()
 
 

@@ -66,15 +66,15 @@ def operation_map(spark, sf):
 FROM g""",
 )
 def source_coordinates(spark, sf):
-    c = F.col("coordinates")
+    database, namespace, bare = (F.col(f"source_{n}") for n in ("database", "namespace", "table"))
     return ingest.filter_event_types(parsed(spark, sf)).select(
         "offset",
-        c["service_name"].alias("source_service"),
-        c["database_name"].alias("database_name"),
-        c["namespace_name"].alias("namespace_name"),
-        c["raw_table"].alias("raw_table"),
+        "source_service",
+        database.alias("database_name"),
+        namespace.alias("namespace_name"),
+        bare.alias("raw_table"),
         "table_name",
-        F.array_join(origin.filter_names(c), "|").alias("names"),
+        F.array_join(origin.filter_names(database, namespace, bare), "|").alias("names"),
     )
 
 
@@ -181,7 +181,7 @@ def tenants_and_sources(spark, sf):
         ingest.filter_event_types(parsed(spark, sf))
         .select(
             "tenant_id",
-            parsing.quota_source(F.lit(""), F.col("coordinates.service_name"), F.col("topic")).alias(
+            parsing.quota_source(F.lit(""), F.col("source_service"), F.col("topic")).alias(
                 "quota_source"
             ),
         )
