@@ -59,56 +59,76 @@ def time_like(number: Column, name: Column) -> Column:
 
 
 def _point(integer: Column, scale: Column) -> Column:
+    """Decimal text of an integer shifted by ``scale`` places."""
     digits = F.regexp_replace(integer.cast("string"), "^-", "")
-    padded = F.when(
-        F.length(digits) <= scale, F.lpad(digits, scale + 1, F.lit("0"))
-    ).otherwise(digits)
-    placed = (
-        F.when(scale > 0, F.concat(
-            F.substring(padded, F.lit(1), F.length(padded) - scale),
-            F.lit("."),
-            F.right(padded, scale),
-        ))
-        .when(scale < 0, F.when(digits == "0", digits).otherwise(F.concat(digits, F.repeat(F.lit("0"), -scale))))
-        .otherwise(digits)
-    )
-    return F.concat(F.when(integer < 0, "-").otherwise(""), placed)
 
+    def placed(d: Column) -> Column:
+        padded = F.lpad(d, F.greatest(F.length(d), scale + 1), F.lit("0"))
+        whole = F.length(padded) - scale
+        return (
+            F.when(
+                scale > 0,
+                F.concat(F.left(padded, whole), F.lit("."), F.right(padded, scale)),
+            )
+            .when((scale < 0) & (d != "0"), F.concat(d, F.repeat(F.lit("0"), -scale)))
+            .otherwise(d)
+        )
 
-def decimal_text(v: Column) -> Column:
-    """Decode ``{"scale": n, "value": base64}`` of up to 15 bytes; NULL for anything else."""
-    fields = F.map_keys(F.try_variant_get(v, "$", V.ROW_TYPE))
-    shaped = fields.isNotNull() & (F.array_sort(fields) == F.array(F.lit("scale"), F.lit("value")))
-    scale = F.try_variant_get(v, "$.scale", "int")
-    body = F.try_to_binary(F.try_variant_get(v, "$.value", "string"), F.lit("base64"))
-    width = F.length(body)
+    return F.concat(F.when(integer < 0, "-").otherwise(""), V.let(digits, placed))
+
+
+def _signed(body: Column) -> Column:
+    """Big-endian two's complement of up to 15 bytes as a decimal."""
     hexed = F.lpad(F.hex(body), 2 * _WIDE_BYTES, "0")
     low = F.conv(F.right(hexed, F.lit(16)), 16, 10).cast("decimal(20,0)")
-    high = F.conv(F.substring(hexed, 1, 2 * _WIDE_BYTES - 16), 16, 10).cast("decimal(17,0)")
-    unsigned = (high * F.lit(2**64).cast("decimal(20,0)")).cast("decimal(38,0)") + low
-    negative = F.conv(F.substring(F.hex(body), 1, 1), 16, 10).cast("int") >= 8
-    span = F.element_at(
-        F.array(*(F.lit(str(2 ** (8 * n))).cast("decimal(38,0)") for n in range(1, _WIDE_BYTES + 1))),
-        width,
+    high = F.conv(F.left(hexed, F.lit(2 * _WIDE_BYTES - 16)), 16, 10).cast("decimal(17,0)")
+    unsigned = (high * F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)") + low
+    negative = F.substring(F.hex(body), 1, 1) >= "8"
+    spans = F.array(
+        *(F.lit(str(2 ** (8 * n))).cast("decimal(38,0)") for n in range(1, _WIDE_BYTES + 1))
     )
-    signed = F.when(negative, unsigned - span).otherwise(unsigned).cast("decimal(38,0)")
-    return F.when(
-        shaped & scale.isNotNull(),
-        F.when(width == 0, "0").when(width <= _WIDE_BYTES, _point(signed, scale)),
+    return F.when(negative, unsigned - F.try_element_at(spans, F.length(body))).otherwise(
+        unsigned
+    ).cast("decimal(38,0)")
+
+
+def decimal_text(v: Column) -> Column:
+    """Decode ``{"scale": n, "value": base64}`` of up to 15 bytes; NULL for anything else."""
+    fields = F.array_sort(F.map_keys(F.try_variant_get(v, "$", V.ROW_TYPE)))
+    parts = F.struct(
+        (fields == F.array(F.lit("scale"), F.lit("value"))).alias("shaped"),
+        F.try_variant_get(v, "$.scale", "int").alias("scale"),
+        F.try_to_binary(F.try_variant_get(v, "$.value", "string"), F.lit("base64")).alias("body"),
     )
 
+    def decoded(p: Column) -> Column:
+        width = F.length(p["body"])
+        text = V.let(_signed(p["body"]), lambda n: _point(n, p["scale"]))
+        return F.when(
+            p["shaped"] & p["scale"].isNotNull(),
+            F.when(width == 0, "0").when(width <= _WIDE_BYTES, text),
+        )
+
+    return V.let(parts, decoded)
+
 
 def shown(v: Column, name: Column) -> Column:
     """Display text of a value under its field name."""
-    doc = F.to_json(v)
-    return (
-        F.when(doc.isNull() | (doc == "null"), "null")
-        .when(doc.startswith("{"), F.coalesce(decimal_text(v), doc))
-        .when(doc.startswith("["), doc)
-        .when(doc.isin("true", "false"), F.initcap(doc))
-        .when(doc.rlike("^-?[0-9]+$"), F.coalesce(iso_text(time_like(doc, name)), doc))
-        .otherwise(F.try_variant_get(v, "$", "string"))
-    )
+
+    def text(doc: Column) -> Column:
+        return (
+            F.when(doc.isNull() | (doc == "null"), "null")
+            .when(doc.startswith("{"), F.coalesce(decimal_text(v), doc))
+            .when(doc.startswith("["), doc)
+            .when(doc.isin("true", "false"), F.initcap(doc))
+            .when(
+                doc.rlike("^-?[0-9]+$"),
+                F.coalesce(V.let(time_like(doc, name), iso_text), doc),
+            )
+            .otherwise(F.try_variant_get(v, "$", "string"))
+        )
+
+    return V.let(F.to_json(v), text)
 
 
 def truncated(value: Column, limit: int = 64) -> Column:
@@ -166,34 +186,46 @@ def state_pairs(before: Column, after: Column, limit: int = 28) -> Column:
 
 def diff_triples(before: Column, after: Column) -> Column:
     """Changed fields in name order as (field, old, new) display texts."""
-
-    def differs(k: Column) -> Column:
-        old = V.sql_null(F.to_json(F.try_element_at(before, k)))
-        new = V.sql_null(F.to_json(F.try_element_at(after, k)))
-        return ~V.same_value(old, new)
-
-    return F.transform(
-        F.filter(all_fields(before, after), differs),
+    pairs = F.transform(
+        all_fields(before, after),
         lambda k: F.struct(
             k.alias("field"),
-            shown(F.try_element_at(before, k), k).alias("old"),
-            shown(F.try_element_at(after, k), k).alias("new"),
+            F.try_element_at(before, k).alias("old"),
+            F.try_element_at(after, k).alias("new"),
+        ),
+    )
+    changed = F.filter(
+        pairs,
+        lambda p: ~V.same_value(V.sql_null(F.to_json(p["old"])), V.sql_null(F.to_json(p["new"]))),
+    )
+    return F.transform(
+        changed,
+        lambda p: F.struct(
+            p["field"].alias("field"),
+            shown(p["old"], p["field"]).alias("old"),
+            shown(p["new"], p["field"]).alias("new"),
         ),
     )
 
 
 def change_summary(triples: Column, operation: Column) -> Column:
-    first = F.try_element_at(triples, F.lit(1))
-    count = F.size(triples)
-    return (
-        F.when(
-            count == 0,
-            F.concat(F.initcap(F.coalesce(F.nullif(operation, F.lit("")), F.lit("UPDATE"))), F.lit(" event")),
+    """One line on what an event changed."""
+    known = F.coalesce(F.when(operation != "", operation), F.lit("UPDATE"))
+
+    def line(t: Column) -> Column:
+        first = F.get(t, F.lit(0))
+        names = F.array_join(F.transform(t, lambda x: x["field"]), ", ")
+        return (
+            F.when(F.size(t) == 0, F.concat(F.initcap(known), F.lit(" event")))
+            .when(
+                F.size(t) == 1,
+                F.concat(first["field"], F.lit(": "), first["old"], F.lit(" -> "), first["new"]),
+            )
+            .when(F.size(t) <= 3, F.concat(names, F.lit(" changed")))
+            .otherwise(F.concat(F.size(t).cast("string"), F.lit(" fields changed")))
         )
-        .when(count == 1, F.concat(first["field"], F.lit(": "), first["old"], F.lit(" -> "), first["new"]))
-        .when(count <= 3, F.concat(F.array_join(triples["field"], ", "), F.lit(" changed")))
-        .otherwise(F.concat(count.cast("string"), F.lit(" fields changed")))
-    )
+
+    return V.let(triples, line)
 
 
 def operation_label(operation: Column) -> Column:
@@ -230,11 +262,15 @@ def record_label(before: Column, after: Column, identity: Column | None = None)
             F.map_concat(F.map_filter(row, lambda k, _: ~F.array_contains(stored, k)), none), row
         )
     )
-    names = F.array_sort(F.map_keys(merged))
+    return F.coalesce(V.let(merged, _label), F.lit("unknown"))
+
+
+def _label(row: Column) -> Column:
+    names = F.array_sort(F.map_keys(row))
     preferred = F.slice(
         F.filter(
             F.array(*(F.lit(k) for k in LABEL_KEYS)),
-            lambda k: F.coalesce(~F.to_json(F.try_element_at(merged, k)).isin("null", '""'), F.lit(False)),
+            lambda k: F.coalesce(~F.to_json(F.try_element_at(row, k)).isin("null", '""'), F.lit(False)),
         ),
         1,
         1,
@@ -246,11 +282,10 @@ def record_label(before: Column, after: Column, identity: Column | None = None)
             F.filter(names, lambda k: F.lower(k).contains("id")),
         )
     )
-    given = F.filter(names, lambda k: ~F.is_variant_null(F.try_element_at(merged, k)))
-    chosen = F.slice(
-        F.array_distinct(F.concat(preferred, F.when(F.size(keyed) > 0, keyed).otherwise(given))), 1, 2
-    )
+    given = F.filter(names, lambda k: ~F.is_variant_null(F.try_element_at(row, k)))
+    others = V.let(keyed, lambda ks: F.when(F.size(ks) > 0, ks).otherwise(given))
+    chosen = F.slice(F.array_distinct(F.concat(preferred, others)), 1, 2)
     parts = F.transform(
-        chosen, lambda k: F.concat(k, F.lit("="), shown(F.try_element_at(merged, k), k))
+        chosen, lambda k: F.concat(k, F.lit("="), shown(F.try_element_at(row, k), k))
     )
-    return F.when(F.size(chosen) > 0, F.array_join(parts, ", ")).otherwise("unknown")
+    return V.let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, ", ")).otherwise("unknown"))

@@ -6,6 +6,8 @@ store, because VARIANT itself can be neither grouped nor compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,11 @@ def members(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, dict[str,
     return unfolded, {name: F.col(alias) for name, alias in plain.items()}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value, so that an expression using it often neither repeats nor re-evaluates it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_json(raw: Column) -> Column:
     """Parse to VARIANT; text that is not JSON gives NULL."""
     return F.try_parse_json(raw)

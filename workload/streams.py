@@ -1,2 +1,206 @@
-from workload.samples import Registry
+"""Streaming runs over landed messages, compared with what a batch gives.
+
+Each query lands the given events as files in a new folder of the shared checkpoint folder (or of
+the system's temporary folder where none is set, as in tests), drains them and reads the result.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from changetide.functions import values
+from changetide.operators import changes, ingest, ordered, quota
+from changetide.session import checkpoint_dir
+from changetide.sources import files
+from changetide.streaming import ingestion, tables
+from workload.samples import CDC, CHANGES, Registry, events, messages, millis, redelivered
+
 queries = Registry()
+
+
+def workspace(spark) -> str:
+    """A new folder: shared on a cluster, temporary in a test."""
+    return f"{checkpoint_dir(spark, tempfile.gettempdir())}/{uuid.uuid4().hex}"
+
+
+def land(spark, sf, where: str, parts: int = 5) -> str:
+    """Messages as JSON lines, cut by offset into ``parts`` folders and files."""
+    rows = redelivered(messages(spark, sf)).withColumn("value", F.col("value").cast("string"))
+    path = f"{where}/landed"
+    rows.repartition(parts, F.col("offset") % parts).write.json(path)
+    return path
+
+
+def run(writer) -> None:
+    query = writer.start()
+    query.awaitTermination()
+
+
+def ingested(spark, sf) -> str:
+    """Land and ingest everything; returns the root of the stored tables."""
+    where = workspace(spark)
+    source = files.read_messages(spark, land(spark, sf, where), stream=True, max_files=3)
+    root = f"{where}/tables"
+    run(ingestion.ingest_stream(source, root, f"{where}/checkpoint"))
+    return root
+
+
+@queries.add(
+    "stream_events",
+    CDC
+    + """SELECT event_id AS "offset", topic, ms AS event_ms, '{"id":' || id_json || '}' AS row_identity, operation FROM g""",
+)
+def stream_events(spark, sf):
+    """Stored events of a run with redelivered positions: each exactly once."""
+    rows = tables.read_log(spark, ingested(spark, sf), "events")
+    return rows.select("offset", "topic", millis("event_time", "event_ms"), "row_identity", "operation")
+
+
+@queries.add(
+    "stream_changes",
+    CHANGES + """SELECT event_id AS "offset", col AS column_name, old_value, new_value FROM h""",
+)
+def stream_changes(spark, sf):
+    rows = tables.read_log(spark, ingested(spark, sf), "column_changes")
+    return rows.select("offset", "column_name", "old_value", "new_value")
+
+
+@queries.add(
+    "stream_catalog",
+    CDC
+    + """SELECT 'public.' || event_type AS table_name, topic AS topic_name, col AS column_name
+FROM (SELECT DISTINCT event_type, topic FROM g), (VALUES ('id'), ('event_type'), ('value'), ('k')) AS t(col)""",
+)
+def stream_catalog(spark, sf):
+    """Catalog after several incremental batches."""
+    root = ingested(spark, sf)
+    return tables.current_tables(spark, root).join(tables.current_columns(spark, root), "table_id").select(
+        "table_name", "topic_name", "column_name"
+    )
+
+
+@queries.add(
+    "stream_window_counts",
+    CDC
+    + """SELECT ms // 3600000 * 3600000 AS window_ms, 'eventdb' AS service_name, op AS event_type, operation, count(*) AS n
+FROM g GROUP BY ALL""",
+)
+def stream_window_counts(spark, sf):
+    """Hourly counts kept as streaming state; nothing is late within the span."""
+    where = workspace(spark)
+    landed = files.read_messages(spark, land(spark, sf, where), stream=True)
+    once = ingestion.distinct_messages(landed, "3650 days")
+    rows = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(once)))
+    counts = rows.groupBy(F.window("event_time", "1 hour").alias("w"), "service_name", "event_type", "operation")
+    name = f"counts_{uuid.uuid4().hex}"
+    run(
+        counts.agg(F.count(F.lit(1)).alias("n"))
+        .select(F.unix_millis("w.start").alias("window_ms"), "service_name", "event_type", "operation", "n")
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{where}/{name}"))
+        .option("checkpointLocation", f"{where}/counts_checkpoint")
+        .trigger(availableNow=True)
+    )
+    final = spark.read.parquet(f"{where}/{name}")
+    return final.groupBy("window_ms", "service_name", "event_type", "operation").agg(F.max("n").alias("n"))
+
+
+@queries.add(
+    "stream_current_state",
+    CDC
+    + """, s AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ms DESC, event_id DESC) AS rn FROM g)
+SELECT event_type AS "table", '{"id":' || id_json || '}' AS row_identity, a_k AS k FROM s WHERE rn = 1 AND op <> 'd'""",
+)
+def stream_current_state(spark, sf):
+    """Row state by event order although files arrive newest first."""
+    where = workspace(spark)
+    spread = messages(spark, sf).withColumn("value", F.col("value").cast("string"))
+    spread.repartitionByRange(5, F.col("offset").desc()).write.json(f"{where}/landed")
+    source = files.read_messages(spark, f"{where}/landed", stream=True, max_files=1)
+    rows = ingest.with_row_identity(
+        ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(source)))
+    )
+    state = changes.current_state(
+        rows.withColumn("table_id", F.col("source_table")), keep_deleted=True
+    )
+    out = f"{where}/state"
+    run(
+        state.writeStream.outputMode("update")
+        .foreachBatch(
+            lambda df, i: df.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(out)
+        )
+        .option("checkpointLocation", f"{where}/state_checkpoint")
+        .trigger(availableNow=True)
+    )
+    image = F.struct("operation", "row")
+    latest = spark.read.parquet(out).groupBy("table_id", "row_identity").agg(
+        F.max_by(image, "batch_id").alias("i")
+    )
+    return latest.where("i.operation <> 'DELETE'").select(
+        F.col("table_id").alias("table"),
+        "row_identity",
+        values.json(F.parse_json("i.row"), "k").alias("k"),
+    )
+
+
+@queries.add(
+    "stream_quota",
+    """WITH a AS (SELECT event_id, user_id % 2 AS src, epoch_us(ts) // 3600000000 AS w, count(*) AS n FROM events GROUP BY ALL)
+SELECT 's' || src AS service_name, w * 3600000 AS window_ms, CAST(least(sum(n), 4) AS BIGINT) AS admitted FROM a GROUP BY ALL""",
+)
+def stream_quota(spark, sf):
+    """Slots carried over micro-batches: no window ever admits more than its limit."""
+    where = workspace(spark)
+    rows = events(spark, sf).select(
+        "event_id", "ts", F.expr("concat('s', user_id % 2)").alias("service_name")
+    )
+    rows.repartition(4, F.col("event_id") % 4).write.parquet(f"{where}/landed")
+    source = (
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/landed")
+    )
+    out = f"{where}/decided"
+    decide = ingestion.quota_batch(
+        f"{where}/tables",
+        lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"),
+        arrival="ts",
+        window_seconds=3600,
+        tenant=None,
+        source_limit=4,
+        ties=("event_id",),
+        slicing=ordered.DEFAULT,
+    )
+    run(
+        source.writeStream.foreachBatch(decide)
+        .option("checkpointLocation", f"{where}/quota_checkpoint")
+        .trigger(availableNow=True)
+    )
+    start = F.unix_millis(quota.window_start(F.col("ts"), 3600)).alias("window_ms")
+    return (
+        spark.read.parquet(out).where("allowed").groupBy("service_name", start)
+        .agg(F.count(F.lit(1)).alias("admitted"))
+    )
+
+
+@queries.add(
+    "stream_feed",
+    CDC
+    + """SELECT event_id AS "offset", op AS event_type, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S') AS at FROM g""",
+)
+def stream_feed(spark, sf):
+    """The live feed as written by a stream."""
+    where = workspace(spark)
+    messages(spark, sf).withColumn("value", F.col("value").cast("string")).write.json(f"{where}/landed")
+    source = files.read_messages(spark, f"{where}/landed", stream=True)
+    rows = ingest.with_row_identity(
+        ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(source)))
+    )
+    run(ingestion.feed_stream(rows, f"{where}/feed", f"{where}/feed_checkpoint"))
+    body = values.parse_json(F.col("value"))
+    return spark.read.text(f"{where}/feed").select(
+        F.try_variant_get(body, "$.event.id.offset", "bigint").alias("offset"),
+        F.try_variant_get(body, "$.event.event_type", "string").alias("event_type"),
+        F.left(F.try_variant_get(body, "$.event.event_time", "string"), F.lit(19)).alias("at"),
+    )
