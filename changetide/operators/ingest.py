@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetide.functions import deep, identity, origin, parsing
@@ -146,23 +146,21 @@ def with_row_identity(events: DataFrame, key_columns: str | None = None) -> Data
     )
 
 
-def filter_event_types(
-    events: DataFrame, allowed: Sequence[str] = (), ignored: Sequence[str] = (parsing.UNPARSED,)
-) -> DataFrame:
-    """Allow and deny lists; events without a type always pass."""
+def type_passes(allowed: Sequence[str] = (), ignored: Sequence[str] = (parsing.UNPARSED,)) -> Column:
+    """Allow and deny lists of event types; events without a type always pass."""
     kind = F.col("event_type")
     passes = F.lit(True)
     if allowed:
         passes = passes & kind.isin(*allowed)
     if ignored:
         passes = passes & ~kind.isin(*ignored)
-    return events.where(kind.isNull() | (kind == "") | passes)
+    return kind.isNull() | (kind == "") | passes
 
 
-def filter_tables(
-    events: DataFrame, allowed: Sequence[str] = (), ignored: Sequence[str] = ()
-) -> DataFrame:
+def table_passes(allowed: Sequence[str] = (), ignored: Sequence[str] = ()) -> Column:
     """Allow and deny lists over every name a table goes by; no source passes."""
+    if not allowed and not ignored:
+        return F.lit(True)
     names = origin.filter_names(
         F.col("source_database"), F.col("source_namespace"), F.col("source_table")
     )
@@ -171,15 +169,32 @@ def filter_tables(
         passes = passes & F.arrays_overlap(names, F.array(*map(F.lit, allowed)))
     if ignored:
         passes = passes & ~F.arrays_overlap(names, F.array(*map(F.lit, ignored)))
-    return events.where(F.col("source_table").isNull() | passes)
+    return F.col("source_table").isNull() | passes
 
 
-def require_fields(events: DataFrame, required: Sequence[str] = ()) -> DataFrame:
-    """Keep events whose document has every listed top-level key, null included."""
+def fields_pass(required: Sequence[str] = ()) -> Column:
+    """Documents with every listed top-level key, null included."""
     if not required:
-        return events
+        return F.lit(True)
     keys = F.map_keys(F.try_variant_get(F.col("event_data"), "$", V.ROW_TYPE))
-    return events.where(F.size(F.array_except(F.array(*map(F.lit, required)), keys)) == 0)
+    missing = F.array_except(F.array(*map(F.lit, required)), keys)
+    return F.coalesce(F.size(missing) == 0, F.lit(False)) & keys.isNotNull()
+
+
+def filter_event_types(
+    events: DataFrame, allowed: Sequence[str] = (), ignored: Sequence[str] = (parsing.UNPARSED,)
+) -> DataFrame:
+    return events.where(type_passes(allowed, ignored))
+
+
+def filter_tables(
+    events: DataFrame, allowed: Sequence[str] = (), ignored: Sequence[str] = ()
+) -> DataFrame:
+    return events.where(table_passes(allowed, ignored))
+
+
+def require_fields(events: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    return events.where(fields_pass(required))
 
 
 def load_processor(reference: str) -> Processor:
@@ -238,10 +253,16 @@ def prepare_events(
     masked: Sequence[str] = deep.DEFAULT_MASKED,
     mask_raw: bool = False,
 ) -> DataFrame:
-    """Messages to filtered, processed and masked events; rows with ``error`` are kept."""
+    """Messages to filtered, processed and masked events.
+
+    Rows with an ``error`` are for the dead letters and pass every filter.
+    """
     events = parse_messages(skip_tombstones(messages))
-    events = filter_event_types(events, allowed_types, ignored_types)
-    events = filter_tables(events, allowed_tables, ignored_tables)
-    events = require_fields(events, required)
+    passes = (
+        type_passes(allowed_types, ignored_types)
+        & table_passes(allowed_tables, ignored_tables)
+        & fields_pass(required)
+    )
+    events = events.where(F.col("error").isNotNull() | passes)
     events = apply_processors(events, processors)
     return mask_fields(events, masked, mask_raw)
