@@ -39,7 +39,7 @@ def filter_names(database: Column, namespace: Column, table: Column) -> Column:
 def catalog_service(topic: Column, source_service: Column) -> Column:
     """Service under which a table is catalogued: topic prefix wins."""
     return F.coalesce(
-        F.nullif(F.split_part(topic, F.lit("."), F.lit(1)), F.lit("")),
+        F.nullif(F.substring_index(topic, ".", 1), F.lit("")),
         source_service,
         F.lit("unknown"),
     )
@@ -93,3 +93,14 @@ def message_position() -> Column:
 def shown_substream(substream: Column) -> Column:
     """Blank substreams are shown as NULL."""
     return F.nullif(substream, F.lit(""))
+
+
+def order_key(time: Column, offset: Column) -> Column:
+    """Time, then offset, as one fixed-width number.
+
+    Fixed-width buffers keep minimum and maximum in a hash aggregate; ordering by a struct would
+    sort every input row first.
+    """
+    stretch = F.lit("10000000000000000000").cast("decimal(20,0)")
+    micros = F.unix_micros(time).cast("decimal(18,0)")
+    return (micros * stretch + F.coalesce(offset, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")

@@ -135,7 +135,7 @@ def operation(code: Column) -> Column:
 def canonical_service(topic: Column, parsed: Column) -> Column:
     """Topic prefix, else the parsed name, else ``unknown``."""
     return F.coalesce(
-        F.nullif(F.split_part(topic, F.lit("."), F.lit(1)), F.lit("")),
+        F.nullif(F.substring_index(topic, ".", 1), F.lit("")),
         F.nullif(parsed, F.lit("")),
         F.lit(UNKNOWN),
     )

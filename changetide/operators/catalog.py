@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changetide.functions import origin, parsing
 from changetide.functions import values as V
-from changetide.schemas import POSITION_ORDER, TABLE_KEY
+from changetide.schemas import TABLE_KEY
 
 # Type names that a drift check treats as the same.
 INTEGER_TYPES = ("integer", "bigint", "smallint")
@@ -17,11 +17,17 @@ IGNORED_TABLES = ("schema_migrations", "spatial_ref_sys", "geography_columns", "
 
 
 def discover_tables(events: DataFrame) -> DataFrame:
-    """Distinct source tables; the topic of the latest position wins."""
-    return (
+    """Distinct source tables; the topic of the latest event wins."""
+    keys = ("table_id", "catalog_service", "database_name", "table_name")
+    # First down to one row per table and topic, by hashing; the rest is tiny.
+    per_topic = (
         events.where(F.col("table_id").isNotNull())
-        .groupBy("table_id", "catalog_service", "database_name", "table_name")
-        .agg(F.max_by("topic", F.struct("capture_time", *POSITION_ORDER)).alias("topic_name"))
+        .groupBy(*keys, "topic")
+        .agg(F.max(origin.order_key(F.col("capture_time"), F.col("offset"))).alias("last"))
+    )
+    return (
+        per_topic.groupBy(*keys)
+        .agg(F.max_by("topic", F.struct("last", "topic")).alias("topic_name"))
         .select(
             "table_id",
             F.col("catalog_service").alias("service_name"),
@@ -167,17 +173,19 @@ def event_columns(events: DataFrame) -> DataFrame:
     definitions = F.coalesce(
         F.col("declared"), infer_columns(F.col("before_row"), F.col("after_row"))
     )
-    return rows.select(
-        "table_id", "topic", "capture_time", "partition", "offset", F.inline(definitions)
-    )
+    return rows.select("table_id", "capture_time", "offset", F.inline(definitions))
 
 
 def merge_columns(described: DataFrame) -> DataFrame:
     """Catalog columns; the first definition of a column wins."""
-    first = F.struct("capture_time", *POSITION_ORDER)
+    parts = ("data_type", "is_primary_key", "is_nullable")
+    # First down to the distinct definitions, by hashing; the rest is tiny.
+    distinct = described.groupBy("table_id", "column_name", *parts).agg(
+        F.min(origin.order_key(F.col("capture_time"), F.col("offset"))).alias("first")
+    )
     return (
-        described.groupBy("table_id", "column_name")
-        .agg(F.min_by(F.struct("data_type", "is_primary_key", "is_nullable"), first).alias("d"))
+        distinct.groupBy("table_id", "column_name")
+        .agg(F.min_by(F.struct(*parts), F.struct("first", *parts)).alias("d"))
         .select(
             "table_id",
             origin.column_id(F.col("table_id"), F.col("column_name")).alias("column_id"),

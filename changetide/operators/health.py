@@ -17,24 +17,21 @@ MAX_DEAD_LETTERS = 0
 
 def checkpoints(events: DataFrame, consumer_group: str, broker_kind: str = "kafka") -> DataFrame:
     """Highest position per stream, with the event time found there."""
-    place = origin.broker_location(broker_kind, F.col("topic"), F.col("partition"), F.col("offset"))
-    placed = events.select(
-        place.alias("p"), F.col("event_time").alias("last_event_time"), F.col("offset").alias("o")
-    ).where(F.col("p").isNotNull())
-    top = placed.groupBy("p.broker_kind", "p.broker_destination", "p.broker_substream").agg(
-        F.max_by(F.struct("p", "last_event_time"), F.struct("o", "last_event_time")).alias("top")
+    kafka = broker_kind == "kafka"
+    known = events.where(
+        F.col("topic").isNotNull()
+        & F.col("offset").isNotNull()
+        & (F.col("partition").isNotNull() if kafka else F.lit(True))
     )
-    return top.select(
-        F.lit(consumer_group).alias("consumer_group"),
-        "broker_kind",
-        "broker_destination",
-        "broker_substream",
-        "top.p.broker_position",
-        "top.p.kafka_topic",
-        "top.p.kafka_partition",
-        "top.p.kafka_offset",
-        "top.last_event_time",
+    stream = ["topic", "partition"] if kafka else ["topic"]
+    top = known.groupBy(*stream).agg(
+        F.max("offset").alias("offset"), F.max_by("event_time", "offset").alias("last_event_time")
     )
+    partition = F.col("partition") if kafka else F.lit(None).cast("int")
+    place = origin.broker_location(broker_kind, F.col("topic"), partition, F.col("offset"))
+    return top.select(
+        F.lit(consumer_group).alias("consumer_group"), place.alias("p"), "last_event_time"
+    ).select("consumer_group", "p.*", "last_event_time")
 
 
 def upsert_checkpoints(

@@ -51,7 +51,6 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     origins = V.computed(
         extracted,
         parsed_service=parsing.service_name(json, doc, source),
-        event_data=F.when(is_object, json).when(json.isNotNull(), wrapped),
         **origin.coordinates(source),
     )
     times = V.computed(
@@ -94,7 +93,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         origin.catalog_service(F.col("topic"), F.col("source_service")).alias("catalog_service"),
         F.coalesce("source_database", F.lit("unknown")).alias("database_name"),
         origin.qualified_table(namespace, bare).alias("table_name"),
-        "event_data",
+        F.when(is_object, json).when(json.isNotNull(), wrapped).alias("event_data"),
         "raw_payload",
         F.col("event_time").alias("capture_time"),
         "error",

@@ -12,6 +12,8 @@ from changetide.operators import catalog, changes, deadletter, dedupe, ingest
 
 @dataclass(frozen=True)
 class EventGraph:
+    """``tables`` and ``columns`` hold the catalog entries the batch describes, already merged."""
+
     events: DataFrame
     tables: DataFrame
     columns: DataFrame
@@ -52,24 +54,27 @@ def graph_of(
     """The graph of already prepared events (which a caller may have persisted)."""
     good, bad = deadletter.split_errors(prepared, on_error)
     tables = catalog.discover_tables(good)
+    described = catalog.discover_columns(good)
+    audited = described
     if known_tables is not None:
-        tables = catalog.upsert_tables(known_tables, tables)
-    columns = catalog.discover_columns(good)
+        mine = known_tables.join(tables.select(*schemas.TABLE_KEY), list(schemas.TABLE_KEY), "left_semi")
+        tables = catalog.upsert_tables(mine, tables)
     if known_columns is not None:
-        columns = catalog.upsert_columns(known_columns, columns)
+        audited = catalog.upsert_columns(known_columns, described)
+        described = audited.join(
+            described.select("table_id", "column_name"), ["table_id", "column_name"], "left_semi"
+        )
     fresh = (
         dedupe.distinct_positions(good) if stored is None else dedupe.new_positions(good, stored)
     )
     identified = ingest.with_row_identity(
-        catalog.attach_key_columns(fresh, columns), "key_columns"
+        catalog.attach_key_columns(fresh, audited), "key_columns"
     ).drop("key_columns")
     return EventGraph(
         events=identified,
         tables=tables,
-        columns=columns,
-        changes=changes.column_changes(identified, columns).select(
-            *(n for n in schemas.COLUMN_CHANGES.names)
-        ),
+        columns=described,
+        changes=changes.column_changes(identified, audited).select(*schemas.COLUMN_CHANGES.names),
         dead_letters=deadletter.dead_letters(bad, failed_at),
     )
 

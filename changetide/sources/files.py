@@ -26,6 +26,15 @@ def read_queue(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return queue_messages(reader.json(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits a task per core, for the costly parsing that follows.
+
+    A large table has more splits than the cluster has cores and is left alone: no shuffle then.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def queue_messages(rows: DataFrame) -> DataFrame:
     """A queue has one partition, and its delivery tag is the offset."""
     return rows.select(

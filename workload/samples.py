@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from changetide.operators import ingest
 from changetide.session import configure
+from changetide.sources.files import spread
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -108,7 +109,7 @@ def messages(spark: SparkSession, sf_dir: str, nested: bool = False) -> DataFram
     value = F.when(F.col("event_id") % 103 == 0, F.lit(None)).when(
         F.col("event_id") % 101 == 0, F.left(doc, F.lit(5))
     ).otherwise(doc)
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         F.concat(F.lit("eventdb.public."), "event_type").alias("topic"),
         (F.col("user_id") % 6).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
