@@ -53,32 +53,54 @@ def graph_of(
 ) -> EventGraph:
     """The graph of already prepared events (which a caller may have persisted)."""
     good, bad = deadletter.split_errors(prepared, on_error)
-    tables = catalog.discover_tables(good)
-    described = catalog.discover_columns(good)
-    audited = described
-    if known_tables is not None:
-        mine = known_tables.join(tables.select(*schemas.TABLE_KEY), list(schemas.TABLE_KEY), "left_semi")
-        tables = catalog.upsert_tables(mine, tables)
-    if known_columns is not None:
-        audited = catalog.upsert_columns(known_columns, described)
-        described = audited.join(
-            described.select("table_id", "column_name"), ["table_id", "column_name"], "left_semi"
-        )
-    fresh = (
-        dedupe.distinct_positions(good) if stored is None else dedupe.new_positions(good, stored)
-    )
-    identified = ingest.with_row_identity(
-        catalog.attach_key_columns(fresh, audited), "key_columns"
-    ).drop("key_columns")
+    tables = catalog_tables(good, known_tables)
+    described, audited = catalog_columns(good, known_columns)
+    events = identified_events(good, audited, stored)
     return EventGraph(
-        events=identified,
+        events=events,
         tables=tables,
         columns=described,
-        changes=changes.column_changes(identified, audited).select(*schemas.COLUMN_CHANGES.names),
+        changes=audited_changes(events, audited),
         dead_letters=deadletter.dead_letters(bad, failed_at),
     )
 
 
+def catalog_tables(good: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Catalog entries of the tables a batch touches."""
+    tables = catalog.discover_tables(good)
+    if known is None:
+        return tables
+    mine = known.join(tables.select(*schemas.TABLE_KEY), list(schemas.TABLE_KEY), "left_semi")
+    return catalog.upsert_tables(mine, tables)
+
+
+def catalog_columns(
+    good: DataFrame, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Catalog entries of the columns a batch describes, and all columns there are then."""
+    described = catalog.discover_columns(good)
+    if known is None:
+        return described, described
+    key = ["table_id", "column_name"]
+    merged = catalog.upsert_columns(known, described)
+    return merged.join(described.select(*key), key, "left_semi"), merged
+
+
+def identified_events(
+    good: DataFrame, columns: DataFrame, stored: DataFrame | None = None
+) -> DataFrame:
+    """Events whose position is new, with their row identity."""
+    fresh = (
+        dedupe.distinct_positions(good) if stored is None else dedupe.new_positions(good, stored)
+    )
+    keyed = catalog.attach_key_columns(fresh, columns)
+    return ingest.with_row_identity(keyed, "key_columns").drop("key_columns")
+
+
+def audited_changes(events: DataFrame, columns: DataFrame) -> DataFrame:
+    return changes.column_changes(events, columns).select(*schemas.COLUMN_CHANGES.names)
+
+
 def stored_events(events: DataFrame, ingested_at: Column) -> DataFrame:
     """Events in the layout of the stored table."""
     return events.withColumn("ingested_at", ingested_at).select(*schemas.EVENTS.names)

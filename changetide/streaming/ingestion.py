@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from changetide.operators import deadletter, feed, ingest, quota
 from changetide.operators.retention import month_of
-from changetide.plans.graph import graph_of, stored_events
+from changetide.plans import graph
 from changetide.schemas import POSITION
 from changetide.streaming import tables
 
@@ -51,19 +51,18 @@ def _store(
         stored = tables.read_log(spark, root, "events").where(
             (F.col("batch_id") != batch_id) & F.col("month").between(F.lit(span.a), F.lit(span.b))
         )
-        graph = graph_of(
-            prepared,
-            moment,
-            stored=stored,
-            known_tables=tables.current_tables(spark, root, before=batch_id),
-            known_columns=tables.current_columns(spark, root, before=batch_id),
-            on_error=on_error,
-        )
-        tables.write_batch(graph.tables, root, "monitored_tables", batch_id)
-        tables.write_batch(graph.columns, root, "monitored_columns", batch_id)
-        tables.write_batch(graph.dead_letters, root, "dead_letter_events", batch_id)
-        tables.write_batch(graph.changes, root, "column_changes", batch_id)
-        tables.write_batch(stored_events(graph.events, moment), root, "events", batch_id)
+        good, bad = deadletter.split_errors(prepared, on_error)
+        known_tables = tables.current_tables(spark, root, before=batch_id)
+        known_columns = tables.current_columns(spark, root, before=batch_id)
+        described, _ = graph.catalog_columns(good, known_columns)
+        tables.write_batch(graph.catalog_tables(good, known_tables), root, "monitored_tables", batch_id)
+        tables.write_batch(described, root, "monitored_columns", batch_id)
+        tables.write_batch(deadletter.dead_letters(bad, moment), root, "dead_letter_events", batch_id)
+        # The catalog as written is small; working it out again would take another pass.
+        columns = tables.current_columns(spark, root, before=batch_id + 1)
+        events = graph.identified_events(good, columns, stored)
+        tables.write_batch(graph.audited_changes(events, columns), root, "column_changes", batch_id)
+        tables.write_batch(graph.stored_events(events, moment), root, "events", batch_id)
     finally:
         prepared.unpersist()
 
@@ -101,16 +100,13 @@ def replay_dead_letters(
     letters = deadletter.replay_batch(deadletter.latest_dead_letters(log), limit).persist()
     stored = tables.read_log(spark, root, "events").where(F.col("batch_id") != batch_id)
     fresh, outcome = deadletter.replay(letters, stored, **pipeline)
-    graph = graph_of(
-        fresh,
-        F.lit(now),
-        known_tables=tables.current_tables(spark, root),
-        known_columns=tables.current_columns(spark, root),
-    )
+    _, merged = graph.catalog_columns(fresh, tables.current_columns(spark, root))
+    events = graph.identified_events(fresh, merged)
     outcome = outcome.persist()
-    tables.write_batch(deadletter.replay_marks(letters, outcome, F.lit(now)), root, "dead_letter_events", batch_id)
-    tables.write_batch(graph.changes, root, "column_changes", batch_id)
-    tables.write_batch(stored_events(graph.events, F.lit(now)), root, "events", batch_id)
+    marks = deadletter.replay_marks(letters, outcome, F.lit(now))
+    tables.write_batch(marks, root, "dead_letter_events", batch_id)
+    tables.write_batch(graph.audited_changes(events, merged), root, "column_changes", batch_id)
+    tables.write_batch(graph.stored_events(events, F.lit(now)), root, "events", batch_id)
     return outcome
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -293,12 +294,20 @@ def fallback_events(spark, sf):
     return ingest.fallback_event(messages(spark, sf)).select("offset", "event_type", "service_name", "operation")
 
 
+_LONG_KEY = "k" * 100
+_PADS = [
+    bytes(b ^ pad for b in hashlib.sha256(_LONG_KEY.encode()).digest().ljust(64, b"\0")).hex()
+    for pad in (0x36, 0x5C)
+]
+
+
 @queries.add(
     "hmac_of_keys",
-    None,
+    f"""SELECT c_custkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(c_name)))) AS signature
+FROM customer""",
 )
 def hmac_of_keys(spark, sf):
     """HMAC under a key longer than a hash block."""
     return table(spark, sf, "customer").select(
-        "c_custkey", signing.hmac_sha256(F.col("c_name"), "k" * 100).alias("signature")
+        "c_custkey", signing.hmac_sha256(F.col("c_name"), _LONG_KEY).alias("signature")
     )
