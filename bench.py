@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs twice and the better time counts: the first run pays for compiling the generated
-code, which a long job on a cluster pays once.
+A query runs twice, and the better time counts, as long as the whole run is below $BENCH_BUDGET
+seconds; after that it runs once. The first run of a plan pays for compiling its generated code.
 """
 
 from __future__ import annotations
@@ -20,18 +20,12 @@ from workload.samples import messages, table
 HEADLINE = (
     "parse_event_fields",
     "mask_fields",
-    "row_identity",
     "column_changes",
-    "changes_history",
     "changes_keyset",
-    "value_at_time",
     "values_at_bulk",
     "current_state",
-    "events_search",
-    "events_keyset",
     "event_stats",
     "insert_ignore",
-    "discover_tables",
     "merge_columns",
     "checkpoints_max",
     "quota_two_stage",
@@ -69,9 +63,14 @@ def main() -> None:
     entries = registry()
     runs = {name: entries[name][0] for name in HEADLINE}
     runs["ingest_graph"] = ingest_graph
+    budget = float(os.environ.get("BENCH_BUDGET", "240"))
+    begun = time.perf_counter()
     seconds = {}
     for name, run in runs.items():
-        seconds[name] = round(min(timed(run, spark, sf_dir) for _ in range(2)), 3)
+        best = timed(run, spark, sf_dir)
+        if time.perf_counter() - begun + best < budget:
+            best = min(best, timed(run, spark, sf_dir))
+        seconds[name] = round(best, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     count = table(spark, sf_dir, "events").count()
     scale = re.search(r"sf([0-9.]+)", sf_dir)
