@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from changetide.functions import values
 from changetide.operators import catalog, ingest
-from workload.samples import CDC, TYPES, Registry, events, parsed, stored, table
+from workload.samples import CDC, TYPES, Registry, events, parsed, table
 
 queries = Registry()
 
@@ -21,12 +21,6 @@ def discover_tables(spark, sf):
     return catalog.discover_tables(parsed(spark, sf)).drop("table_id")
 
 
-_COLUMNS = """SELECT 'public.' || event_type AS table_name, col AS column_name, typ AS data_type,
-  false AS is_primary_key, (col = 'k' AND min(event_id) FILTER (has_before AND event_id % 5 = 0) = min(event_id)) AS is_nullable
-FROM g, (VALUES ('id', 'integer'), ('event_type', 'string'), ('value', 'number'), ('k', 'integer')) AS t(col, typ)
-GROUP BY ALL"""
-
-
 @queries.add(
     "infer_columns",
     CDC

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from changetide.functions import origin
-from changetide.operators import audit, deadletter, health, retention
+from changetide.operators import audit, deadletter, health, ingest, retention
 from changetide.schemas import DEAD_LETTERS
 from workload.samples import CDC, Registry, events, messages, millis, parsed, stored, table
 
@@ -62,8 +62,6 @@ def dlq_capture(spark, sf):
         F.col("ts").alias("timestamp"),
         doc.alias("value"),
     )
-    from changetide.operators import ingest
-
     _, failed = deadletter.split_errors(ingest.parse_messages(landed))
     return deadletter.dead_letters(failed, F.col("timestamp")).select(
         "broker_destination", "broker_substream", "broker_position", "error_message"
