@@ -1,22 +1,62 @@
-"""From raw documents to token digests: the stages of a training corpus, each one operator."""
+"""From raw documents to token digests: the stages of a training corpus, each one operator.
+
+Every stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; all but the
+last keep the columns of documents. `run` stores each stage's result and reads it again.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changetide.llm import bpe
+from changetide.llm import bpe, langid, minhash, mixing, pii
 from changetide.llm.queries import RANKS
 from changetide.llm.scratch import stored, table
 
+# The model, the hashes and the draws of the stages have no SQL form.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; repeated rows of one document once."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return joined
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data replaced by their kind; n_chars follows the text."""
+    cleaned = pii.redacted(docs, pii.findings(docs))
+    if "n_chars" not in docs.columns:
+        return cleaned
+    kind = docs.schema["n_chars"].dataType
+    length = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
+    return cleaned.withColumn("n_chars", length)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded."""
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mix", mix),
+    ("encode", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
