@@ -168,23 +168,25 @@ def values_at(
         *POSITION_ORDER,
         F.struct("new_value", "changed_at").alias("_hit"),
     )
-    asked = lookups.select(F.struct(*lookups.columns).alias("_ask"), *lookups.columns)
-    asks = asked.select(
+    # Any number of lookups may ask for one key at one instant; one of them is carried.
+    asks = lookups.select(*keys, F.unix_micros("at").alias("_at")).distinct().select(
         *keys,
-        F.unix_micros("at").alias("_at"),
+        "_at",
         # After every change of the same instant.
         F.lit(2**62).alias("offset"),
         F.lit(None).cast("int").alias("partition"),
         F.lit(None).cast("string").alias("topic"),
         F.lit(None).cast(facts.schema["_hit"].dataType).alias("_hit"),
-        F.col("_ask"),
+        F.lit(True).alias("_ask"),
     )
-    facts = facts.withColumn("_ask", F.lit(None).cast(asks.schema["_ask"].dataType))
+    facts = facts.withColumn("_ask", F.lit(False))
     carried = ordered.carry_last(
         facts.unionByName(asks), keys, "_at", F.col("_hit"), "_found", POSITION_ORDER, slicing=slicing
     )
-    return carried.where(F.col("_ask").isNotNull()).select(
-        "_ask.*",
+    answers = carried.where("_ask").select(*keys, "_at", "_found")
+    timed = lookups.withColumn("_at", F.unix_micros("at"))
+    return ordered.attach(timed, answers, [*keys, "_at"]).select(
+        *lookups.columns,
         F.col("_found.new_value").alias("value"),
         F.col("_found.changed_at").alias("changed_at"),
         F.col("_found").isNotNull().alias("found"),

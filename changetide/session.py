@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Semantics: timestamps are UTC, a repeated JSON key takes its last value.
@@ -41,3 +45,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is unset and no fallback folder was given")
     return fallback
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for stored tables and stream checkpoints, in the cluster's shared folder.
+
+    Only a session of one machine may do without that setting; it gets a temporary folder.
+    """
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    own = os.path.join(tempfile.gettempdir(), "changetide") if alone else None
+    return f"{checkpoint_dir(spark, own)}/{uuid.uuid4().hex}"

@@ -57,6 +57,24 @@ def test_hot_groups_are_really_cut(spark):
     assert cut.where("not _hot").select("_slice").distinct().count() == 1
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp"])
+def test_cuts_do_not_depend_on_arrival(spark, kind):
+    """Whatever order rows are read and merged in, a row gets the same slice; outliers spoil no cut."""
+    df = sample(spark, 5, 900)
+    far = spark.createDataFrame([("hot", -(10**9), -1, 1), ("hot", 10**9, -2, 1)], df.schema)
+    df = df.unionAll(far).withColumn("t", F.timestamp_seconds("t") if kind == "timestamp" else F.col("t").cast(kind))
+    slicing = ordered.Slicing(hot_rows=50, parts=8, tie_rows=40)
+    found = set()
+    for parts, order in ((1, F.col("i")), (7, F.col("i").desc()), (5, F.rand(3)), (3, F.rand(4))):
+        mixed = df.repartition(parts, F.rand(parts)).sortWithinPartitions(order)
+        cut = ordered.sliced(mixed, ["k"], "t", ["i"], slicing).select("i", "t", "k", "_slice", "_sub", "_hot")
+        found.add(tuple(sorted(map(tuple, cut.collect()), key=str)))
+    assert len(found) == 1
+    rows = sorted((r for r in next(iter(found)) if r[2] == "hot"), key=lambda r: (r[1], r[0]))
+    assert [r[3:5] for r in rows] == sorted(r[3:5] for r in rows)
+    assert len({r[3] for r in rows}) > 6
+
+
 @pytest.mark.parametrize("slicing", SLICINGS)
 @pytest.mark.parametrize("exclusive", [False, True])
 def test_percentiles(spark, slicing, exclusive):
