@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
+import pkgutil
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -198,20 +198,12 @@ def require_fields(events: DataFrame, required: Sequence[str] = ()) -> DataFrame
 
 def load_processor(reference: str) -> Processor:
     """Resolve ``module:function`` or ``module.function``."""
-    for mark, split in ((":", str.split), (".", str.rsplit)):
-        if mark in reference:
-            module_name, name = split(reference, mark, 1)
-            break
-    else:
-        raise ValueError(f"Processor '{reference}' must be module:function or module.function")
-    if not module_name or not name:
-        raise ValueError(f"Processor '{reference}' must be module:function or module.function")
     try:
-        found = getattr(importlib.import_module(module_name), name, None)
-    except ImportError as exc:
-        raise ValueError(f"Processor '{reference}': cannot import '{module_name}'") from exc
+        found = pkgutil.resolve_name(reference)
+    except (ImportError, AttributeError, ValueError) as exc:
+        raise ValueError(f"no processor under the name {reference!r}") from exc
     if not callable(found):
-        raise ValueError(f"Processor '{reference}' is not callable")
+        raise ValueError(f"{reference!r} names something that is no processor")
     return found
 
 
@@ -225,16 +217,25 @@ def apply_processors(events: DataFrame, processors: Iterable[Processor | str] =
 
 
 def mask_fields(
-    events: DataFrame, names: Sequence[str] = deep.DEFAULT_MASKED, mask_raw: bool = False
+    events: DataFrame,
+    names: Sequence[str] = deep.DEFAULT_MASKED,
+    mask_raw: bool = False,
+    as_received: bool = False,
 ) -> DataFrame:
     """Mask the listed keys at any depth of ``event_data``.
 
-    ``raw_payload`` is what text search reads; it stays as received unless ``mask_raw``.
+    ``raw_payload`` is what text search reads; it stays as received unless ``mask_raw``. With
+    ``as_received``, ``event_data`` is known to be what ``raw_payload`` says, and documents whose text
+    holds no such key are neither printed nor parsed again.
     """
     if not names:
         return events
-    masked = events.withColumn("_masked", deep.mask_json(F.to_json("event_data"), names))
-    out = V.computed(masked.drop("event_data"), event_data=V.parse_json(F.col("_masked")))
+    document = F.to_json("event_data")
+    if as_received:
+        document = F.when(deep.names_any(F.col("raw_payload"), names), document)
+    masked = events.withColumn("_masked", deep.mask_json(document, names))
+    again = F.when(F.col("_masked").isNotNull(), V.parse_json(F.col("_masked"))).otherwise(F.col("_kept"))
+    out = V.computed(masked.withColumnRenamed("event_data", "_kept"), event_data=again).drop("_kept")
     if mask_raw:
         out = out.withColumn("raw_payload", F.coalesce("_masked", "raw_payload"))
     return out.drop("_masked")
@@ -263,5 +264,6 @@ def prepare_events(
         & fields_pass(required)
     )
     events = events.where(F.col("error").isNotNull() | passes)
+    processors = list(processors)
     events = apply_processors(events, processors)
-    return mask_fields(events, masked, mask_raw)
+    return mask_fields(events, masked, mask_raw, as_received=not processors)

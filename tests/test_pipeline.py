@@ -8,27 +8,36 @@ from changetide.functions import deep
 from changetide.operators import catalog, changes, dedupe, ingest
 
 
-def add_summary(events):
-    return events.withColumn("user_id", F.concat(F.lit("order-"), F.col("offset")))
+def tag_station(events):
+    """A step that reads what masking would hide later."""
+    secret = F.try_variant_get("event_data", "$.reading.secret", "string")
+    return events.withColumn("user_id", F.concat_ws("/", F.col("topic"), F.length(secret).cast("string")))
 
 
-def keep(events):
+def look_only(events):
     return None
 
 
-def test_processors_run_before_masking(landed):
-    document = {"payload": {"after": {"id": 42, "password": "x"}, "op": "c"}}
-    events = ingest.prepare_events(landed([("a.b", 0, 42, document)]), processors=[add_summary, keep])
-    row = events.head()
-    assert row.user_id == "order-42"
-    assert row.event_data.toPython()["payload"]["after"] == {"id": 42, "password": "***MASKED***"}
-    assert '"x"' in row.raw_payload
+def test_steps_see_documents_before_they_are_masked(landed):
+    document = {"reading": {"celsius": 21.5, "secret": "north-gate"}, "station": 7}
+    messages = landed([("weather.probe", 3, 900, document)])
+    row = ingest.prepare_events(messages, processors=[look_only, tag_station, look_only]).head()
+    assert row.user_id == "weather.probe/10"
+    assert row.event_data.toPython()["reading"]["secret"] == deep.MASK
+    assert "north-gate" in row.raw_payload
 
 
-def test_processors_by_reference(landed):
-    rows = landed([("a.b", 0, 1, {"op": "c"})])
-    for reference in ("test_pipeline:add_summary", "test_pipeline.add_summary"):
-        assert ingest.prepare_events(rows, processors=[reference]).head().user_id == "order-1"
+def test_steps_by_name(landed):
+    messages = landed([("weather.probe", 0, 1, {"reading": {"secret": "abc"}})])
+    for name in ("test_pipeline:tag_station", "test_pipeline.tag_station"):
+        assert ingest.prepare_events(messages, processors=[name]).head().user_id == "weather.probe/3"
+
+
+def test_documents_without_masked_keys_are_left_alone(landed):
+    odd = '{"a": 1e2, "to\\u006ben": "hidden", "b": [1.50]}'
+    rows = landed([("w.p", 0, 1, odd), ("w.p", 0, 2, '{"a": 1.50,   "z": "token"}'), ("w.p", 0, 3, '{"x": {"token": [1]}}')])
+    out = {r.offset: json.loads(r.j) for r in ingest.prepare_events(rows).select("offset", F.to_json("event_data").alias("j")).collect()}
+    assert out == {1: {"a": 100.0, "token": deep.MASK, "b": [1.5]}, 2: {"a": 1.5, "z": "token"}, 3: {"x": {"token": deep.MASK}}}
 
 
 def test_masking_depth_and_raw(spark, landed):
@@ -53,24 +62,19 @@ def test_masking_depth_and_raw(spark, landed):
 
 def test_mask_helper_keeps_numbers_and_private_characters():
     doc = '{"a":1.10,"b":"0","token":2.50}'
-    out = deep._rewrite(doc, lambda x: deep._masked(x, frozenset({"token"})))
+    out = deep.reprinted(doc, hidden=frozenset({"token"}))
     assert json.loads(out) == {"a": 1.1, "b": "0", "token": "***MASKED***"}
     assert '"a":1.10' in out
 
 
-def test_allow_list(landed):
-    rows = landed(
-        [
-            ("t.x", 0, 1, flat("c", after={"id": 1}, db="inventory", schema="sales", table="orders")),
-            ("t.x", 0, 2, flat("c", after={"id": 1}, db="inventory", schema=None, table="orders")),
-            ("t.x", 0, 3, flat("c", after={"id": 1}, db="other", schema=None, table="orders")),
-            ("t.x", 0, 4, {"op": "c"}),
-        ]
-    )
-    kept = ingest.filter_tables(
-        ingest.parse_messages(rows), allowed=("inventory.sales.orders", "inventory.orders")
-    )
-    assert sorted(r.offset for r in kept.collect()) == [1, 2, 4]
+def test_tables_are_allowed_under_any_of_their_names(landed):
+    places = {1: ("fleet", "yard", "trucks"), 2: ("fleet", None, "trucks"), 3: ("depot", None, "trucks"), 4: ("fleet", "yard", "vans")}
+    rows = [("t.x", 0, i, flat("u", after={"id": i}, db=d, schema=s, table=t)) for i, (d, s, t) in places.items()]
+    parsed = ingest.parse_messages(landed([*rows, ("t.x", 0, 5, {"op": "u"})]))
+    kept = lambda *names: sorted(r.offset for r in ingest.filter_tables(parsed, allowed=names).collect())
+    assert kept("fleet.yard.trucks", "fleet.trucks") == [1, 2, 5]
+    assert kept("depot.trucks") == [3, 5]
+    assert kept("yard.vans") == [4, 5]
 
 
 def test_inferred_columns(landed):
