@@ -124,16 +124,21 @@ def _month_end(month: str) -> datetime:
     return datetime(year + number // 12, number % 12 + 1, 1)
 
 
+def _layout(df: DataFrame) -> list[str]:
+    """By month, and by batch inside where batches are told apart."""
+    return [c for c in ("month", "batch_id") if c in df.columns]
+
+
 def rewrite_months(df: DataFrame, path: str, staging: str) -> None:
-    """Replace the months ``df`` covers, although ``df`` may read from ``path``.
+    """Replace the months (or their batches) ``df`` covers, although ``df`` may read from ``path``.
 
     Spark cannot overwrite what it reads, hence the stop in ``staging``.
     """
     spark = df.sparkSession
-    df.write.mode("overwrite").partitionBy("month").parquet(staging)
-    staged = spark.read.parquet(staging).withColumn("month", F.col("month").cast("string"))
+    df.write.mode("overwrite").partitionBy(*_layout(df)).parquet(staging)
+    staged = spark.read.schema(df.schema).parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "month"
+        *_layout(df)
     ).parquet(path)
 
 
@@ -145,13 +150,20 @@ def expire_boundary(
     if policy.days <= 0:
         return
     month = (now - timedelta(days=policy.days)).strftime("%Y%m")
-    stored = spark.read.parquet(path).where(F.col("month").cast("string") == month)
+    every = spark.read.parquet(path)
+    stored = every.withColumn("month", F.col("month").cast("string")).where(F.col("month") == month)
     old = expired_rows(stored, policy, now)
     if archive_to and write_archive(old, archive_to, now) != old.count():
         raise RuntimeError("archive is incomplete; nothing was removed")
-    rewrite_months(
-        kept_rows(stored, policy, now).withColumn("month", F.col("month").cast("string")), path, staging
-    )
+    kept = kept_rows(stored, policy, now)
+    layout = _layout(stored)
+    # a folder whose rows all expired is not among those that get rewritten
+    emptied = stored.select(*layout).distinct().join(kept.select(*layout).distinct(), layout, "left_anti").collect()
+    rewrite_months(kept, path, staging)
+    fs, root = _filesystem(spark, path)
+    for row in emptied:
+        folder = "/".join(f"{c}={row[c]}" for c in layout)
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, folder), True)
 
 
 def partition_by_month(df: DataFrame, column: str) -> DataFrame:

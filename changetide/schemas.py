@@ -45,6 +45,8 @@ QUEUE_MESSAGE = _columns(
     "queue string, delivery_tag bigint, timestamp timestamp, body string"
 )
 
+POSITIONS = _columns("topic string, partition int, offset bigint")
+
 EVENTS = _columns(
     """topic string, partition int, offset bigint, event_type string, event_time timestamp,
     user_id string, service_name string, table_id bigint, operation string, row_identity string,

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from changetide.operators import deadletter, feed, ingest, quota
-from changetide.operators.retention import month_of
+from changetide.operators import deadletter, dedupe, feed, ingest, quota
 from changetide.plans import graph
 from changetide.schemas import POSITION
 from changetide.streaming import tables
@@ -26,9 +25,9 @@ def store_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that stores the event graph of each micro-batch.
 
-    Outputs are written catalog, dead letters, changes, events. Events come last: their presence
-    means that the batch is complete. A repeated batch overwrites its own output, and positions
-    stored by other batches are left out.
+    All outputs of a batch become visible together, after the last is written. A repeated batch
+    replaces its own output. A position that another batch has stored is left out, whatever its
+    time; a message that neither states a time nor has a record time gets the time of its storing.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -37,36 +36,45 @@ def store_batch(
     return store
 
 
+def _timed(events: DataFrame, moment: datetime) -> DataFrame:
+    """Rows without any time happened, as far as is known, at the moment they are stored."""
+    return events.withColumns({c: F.coalesce(c, F.lit(moment)) for c in ("event_time", "capture_time")})
+
+
 def _store(
-    messages: DataFrame, batch_id: int, root: str, on_error: str, moment: Column, pipeline: Mapping
+    messages: DataFrame, batch_id: int, root: str, on_error: str, now: Column, pipeline: Mapping
 ) -> None:
     spark = messages.sparkSession
-    tables.create_tables(spark, root)
-    prepared = ingest.prepare_events(messages, **pipeline).persist()
+    if not tables.begin(spark, root, batch_id):
+        return
+    moment = spark.range(1).select(now).head()[0]
+    prepared = _timed(ingest.prepare_events(messages, **pipeline), moment).persist()
     try:
-        span = prepared.agg(
-            F.min(month_of(F.col("capture_time"))).alias("a"), F.max(month_of(F.col("capture_time"))).alias("b")
-        ).head()
-        # Only the months this batch touches are searched for known positions.
-        stored = tables.read_log(spark, root, "events").where(
-            (F.col("batch_id") != batch_id) & F.col("month").between(F.lit(span.a), F.lit(span.b))
-        )
         good, bad = deadletter.split_errors(prepared, on_error)
-        known_tables = tables.current_tables(spark, root, before=batch_id)
-        known_columns = tables.current_columns(spark, root, before=batch_id)
-        described, _ = graph.catalog_columns(good, known_columns)
-        tables.write_batch(graph.catalog_tables(good, known_tables), root, "monitored_tables", batch_id)
-        tables.write_batch(described, root, "monitored_columns", batch_id)
-        tables.write_batch(deadletter.dead_letters(bad, moment), root, "dead_letter_events", batch_id)
-        # The catalog as written is small; working it out again would take another pass.
-        columns = tables.current_columns(spark, root, before=batch_id + 1)
-        events = graph.identified_events(good, columns, stored)
-        tables.write_batch(graph.audited_changes(events, columns), root, "column_changes", batch_id)
-        tables.write_batch(graph.stored_events(events, moment), root, "events", batch_id)
+        fresh = dedupe.new_positions(good, tables.known_positions(spark, root, prepared))
+        _write_graph(spark, root, batch_id, good, fresh, deadletter.dead_letters(bad, F.lit(moment)), moment)
     finally:
         prepared.unpersist()
 
 
+def _write_graph(
+    spark: SparkSession, root: str, batch_id: int, good: DataFrame, fresh: DataFrame, letters: DataFrame, moment: datetime
+) -> None:
+    """Catalog entries, dead letters, changes, events and positions of a batch, then publish it."""
+    described, _ = graph.catalog_columns(good, tables.current_columns(spark, root))
+    tables.write_batch(graph.catalog_tables(good, tables.current_tables(spark, root)), root, "monitored_tables", batch_id)
+    tables.write_batch(described, root, "monitored_columns", batch_id)
+    # The catalog as written is small; working it out again would take another pass.
+    columns = tables.current_columns(spark, root, also=batch_id)
+    events = graph.identified_events(fresh, columns)
+    tables.write_batch(graph.audited_changes(events, columns), root, "column_changes", batch_id)
+    tables.write_batch(graph.stored_events(events, F.lit(moment)), root, "events", batch_id)
+    placed, _ = dedupe.split_positions(fresh)
+    tables.write_batch(placed, root, "positions", batch_id)
+    tables.write_batch(letters, root, "dead_letter_events", batch_id)
+    tables.publish(spark, root, batch_id)
+
+
 def ingest_stream(
     messages: DataFrame,
     root: str,
@@ -90,24 +98,27 @@ def replay_dead_letters(
 ) -> DataFrame:
     """One replay run over the oldest pending letters; returns the outcome per letter.
 
-    The run writes under its own negative batch id, so repeating a run is harmless.
+    Letters go through the whole path, discovery of tables and columns included. Events and marks
+    become visible together, under a negative batch id of the run's own, so a run that broke off can
+    be repeated and nothing is marked that isn't stored.
     """
     if run_id < 1:
         raise ValueError("run_id starts at 1")
     batch_id = -run_id
-    tables.create_tables(spark, root)
-    log = tables.read_log(spark, root, "dead_letter_events").where(F.col("batch_id") != batch_id)
-    letters = deadletter.replay_batch(deadletter.latest_dead_letters(log), limit).persist()
-    stored = tables.read_log(spark, root, "events").where(F.col("batch_id") != batch_id)
-    fresh, outcome = deadletter.replay(letters, stored, **pipeline)
-    _, merged = graph.catalog_columns(fresh, tables.current_columns(spark, root))
-    events = graph.identified_events(fresh, merged)
-    outcome = outcome.persist()
-    marks = deadletter.replay_marks(letters, outcome, F.lit(now))
-    tables.write_batch(marks, root, "dead_letter_events", batch_id)
-    tables.write_batch(graph.audited_changes(events, merged), root, "column_changes", batch_id)
-    tables.write_batch(graph.stored_events(events, F.lit(now)), root, "events", batch_id)
-    return outcome
+    tables.begin(spark, root, batch_id)
+    letters = deadletter.replay_batch(tables.current_dead_letters(spark, root), limit).persist()
+    known = tables.known_positions(spark, root, deadletter.as_messages(letters)).persist()
+    fresh, outcome = deadletter.replay(letters, known, **pipeline)
+    fresh, outcome = fresh.persist(), outcome.persist()
+    try:
+        marks = deadletter.replay_marks(letters, outcome, F.lit(now))
+        path = f"{root}/_replays/run_id={run_id}"
+        outcome.write.mode("overwrite").parquet(path)
+        _write_graph(spark, root, batch_id, fresh, fresh, marks, now)
+        return spark.read.schema(outcome.schema).parquet(path)
+    finally:
+        for frame in (letters, known, fresh, outcome):
+            frame.unpersist()
 
 
 def quota_batch(
@@ -138,10 +149,17 @@ def quota_batch(
     return decide
 
 
-def windowed_counts(events: DataFrame, width: str, lateness: str) -> DataFrame:
-    """Counts per event-time window, service, type and operation; late rows are bounded."""
+def windowed_counts(
+    events: DataFrame, width: str, lateness: str, positions: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts per event-time window, service, type and operation; late rows are bounded.
+
+    positions: columns by which redelivered rows are left out, within the same lateness."""
+    timed = events.withWatermark("event_time", lateness)
+    if positions:
+        timed = timed.dropDuplicatesWithinWatermark(list(positions))
     return (
-        events.withWatermark("event_time", lateness)
+        timed
         .groupBy(F.window("event_time", width).alias("w"), "service_name", "event_type", "operation")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), "service_name", "event_type", "operation", "n")

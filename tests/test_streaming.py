@@ -100,9 +100,10 @@ def test_progress_rows(spark, tmp_path):
     kafka = {"id": "q", "batchId": 1, "timestamp": "t", "sources": [
         {"description": "k", "numInputRows": 2, "endOffset": {"t": {"0": 5}}, "metrics": {"maxOffsetsBehindLatest": "9"}}]}
     assert progress.progress_rows(kafka)[0][-1] == 9
-    log = progress.ProgressLog()
-    log._rows.extend(rows)
-    assert log.frame(spark).count() == len(rows)
+    log = progress.ProgressLog(spark, f"{tmp_path}/progress", every=2)
+    for row in rows:
+        log.add([row])
+    assert log.frame().count() == len(rows)
 
 
 def test_stored_months_prune(spark, tmp_path, landed):

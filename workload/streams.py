@@ -1,19 +1,20 @@
 """Streaming runs over landed messages, compared with what a batch gives.
 
-Each query lands the given events as files in a new folder of the shared checkpoint folder (or of
-the system's temporary folder where none is set, as in tests), drains them and reads the result.
+Each query lands the given events as files in a new folder of the shared checkpoint folder, drains
+them and reads the result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from changetide.functions import values
-from changetide.operators import changes, ingest, ordered, quota
-from changetide.session import checkpoint_dir
+from changetide.operators import changes, deadletter, ingest, ordered, quota, retention
+from changetide.schemas import POSITION
+from changetide.session import work_folder
 from changetide.sources import files
 from changetide.streaming import ingestion, tables
 from workload.samples import CDC, CHANGES, Registry, events, messages, millis, redelivered
@@ -22,8 +23,8 @@ queries = Registry()
 
 
 def workspace(spark) -> str:
-    """A new folder: shared on a cluster, temporary in a test."""
-    return f"{checkpoint_dir(spark, tempfile.gettempdir())}/{uuid.uuid4().hex}"
+    """A new folder that all machines of the session share."""
+    return work_folder(spark)
 
 
 def land(spark, sf, where: str, parts: int = 5) -> str:
@@ -89,16 +90,16 @@ def stream_catalog(spark, sf):
 FROM g GROUP BY ALL""",
 )
 def stream_window_counts(spark, sf):
-    """Hourly counts kept as streaming state; nothing is late within the span."""
+    """Hourly counts kept as streaming state, redelivered positions once; whatever the order of the
+    files, no event is later than the span of the table."""
     where = workspace(spark)
     landed = files.read_messages(spark, land(spark, sf, where), stream=True)
-    once = ingestion.distinct_messages(landed, "3650 days")
-    rows = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(once)))
-    counts = rows.groupBy(F.window("event_time", "1 hour").alias("w"), "service_name", "event_type", "operation")
+    rows = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(landed)))
+    span = events(spark, sf).agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts")) + 1).head()[0] or 1
+    counts = ingestion.windowed_counts(rows, "1 hour", f"{span} seconds", POSITION)
     name = f"counts_{uuid.uuid4().hex}"
     run(
-        counts.agg(F.count(F.lit(1)).alias("n"))
-        .select(F.unix_millis("w.start").alias("window_ms"), "service_name", "event_type", "operation", "n")
+        counts.select(F.unix_millis("window_start").alias("window_ms"), "service_name", "event_type", "operation", "n")
         .writeStream.outputMode("update")
         .foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{where}/{name}"))
         .option("checkpointLocation", f"{where}/counts_checkpoint")
@@ -204,3 +205,131 @@ def stream_feed(spark, sf):
         F.try_variant_get(body, "$.event.event_type", "string").alias("event_type"),
         F.left(F.try_variant_get(body, "$.event.event_time", "string"), F.lit(19)).alias("at"),
     )
+
+
+def _twice(spark, sf, change):
+    """Store messages as one batch, and again, changed, as the next; the root of the tables."""
+    root = f"{workspace(spark)}/tables"
+    store = ingestion.store_batch(root)
+    rows = messages(spark, sf)
+    store(rows, 0)
+    store(change(rows), 1)
+    return root
+
+
+@queries.add(
+    "stream_redelivered_other_month",
+    CDC + """SELECT event_id AS "offset", count(*) AS n, max(ms) AS event_ms FROM g GROUP BY event_id""",
+)
+def stream_redelivered_other_month(spark, sf):
+    """A position is stored once, even if it comes again with a time months later."""
+    later = lambda m: m.withColumn(
+        "value", F.encode(F.regexp_replace(F.decode("value", "UTF-8"), '"ts_ms":([0-9]{3})', '"ts_ms":9$1'), "UTF-8")
+    )
+    found = tables.read_log(spark, _twice(spark, sf, later), "events")
+    return found.groupBy("offset").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.unix_millis("event_time")).alias("event_ms")
+    )
+
+
+@queries.add(
+    "stream_without_time",
+    CDC + """SELECT event_id AS "offset", count(*) AS n, true AS timed FROM g GROUP BY event_id""",
+)
+def stream_without_time(spark, sf):
+    """Messages without any time get the time of their storing, once."""
+    bare = lambda m: m.withColumns(
+        {
+            "value": F.encode(F.regexp_replace(F.decode("value", "UTF-8"), '"ts_ms":[0-9]+', '"x":0'), "UTF-8"),
+            "timestamp": F.lit(None).cast("timestamp"),
+        }
+    )
+    root = f"{workspace(spark)}/tables"
+    store = ingestion.store_batch(root)
+    for batch_id in range(2):
+        store(bare(messages(spark, sf)), batch_id)
+    rows = tables.read_log(spark, root, "events")
+    return rows.groupBy("offset").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("capture_time").isNotNull() & F.col("month").isNotNull()).alias("timed")
+    )
+
+
+@queries.add(
+    "stream_replay",
+    CHANGES
+    + """SELECT 'event' AS kind, operation AS label, count(*) AS n FROM g WHERE event_id % 5 = 0 GROUP BY ALL
+UNION ALL SELECT 'change', h.col, count(*) FROM h JOIN g USING (event_id) WHERE event_id % 5 = 0 GROUP BY ALL
+UNION ALL SELECT 'column', t.col, count(*) FROM (SELECT DISTINCT event_type FROM g WHERE event_id % 5 = 0), (VALUES ('id'), ('event_type'), ('value'), ('k')) AS t(col) GROUP BY ALL
+UNION ALL SELECT 'pending', 'letters', 0""",
+)
+def stream_replay(spark, sf):
+    """Letters of tables nobody has seen are replayed: events, changes, catalog and marks."""
+    root = f"{workspace(spark)}/tables"
+    rows = messages(spark, sf).where("offset % 5 = 0")
+    bad = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(rows)))
+    bad = bad.withColumn("error", F.lit("broken downstream"))
+    tables.begin(spark, root, 0)
+    tables.write_batch(deadletter.dead_letters(bad, F.col("event_time")), root, "dead_letter_events", 0)
+    tables.publish(spark, root, 0)
+    ingestion.replay_dead_letters(spark, root, 1, datetime(2030, 1, 1, tzinfo=timezone.utc), limit=max(1, bad.count()))
+    log = lambda name: tables.read_log(spark, root, name)
+    counted = lambda df, kind, label: df.groupBy(
+        F.lit(kind).alias("kind"), F.col(label).alias("label")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    pending = deadletter.pending_count(tables.current_dead_letters(spark, root))
+    return (
+        counted(log("events"), "event", "operation")
+        .unionByName(counted(log("column_changes"), "change", "column_name"))
+        .unionByName(counted(tables.current_columns(spark, root), "column", "column_name"))
+        .unionByName(pending.select(F.lit("pending").alias("kind"), F.lit("letters").alias("label"), F.col("pending").alias("n")))
+    )
+
+
+@queries.add(
+    "stream_retention",
+    CDC
+    + """, d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM g), cut AS (SELECT quantile_disc(day, 0.5) AS c FROM d)
+SELECT strftime(ts, '%Y%m') AS month, count(*) AS n, min(ms) AS first_ms,
+  (SELECT count(*) FROM g, cut WHERE ts < c) AS archived
+FROM g, cut WHERE ts >= c GROUP BY 1""",
+)
+def stream_retention(spark, sf):
+    """Whole months dropped and the boundary month rewritten on a streamed store, all archived."""
+    root = ingested(spark, sf)
+    days = tables.read_log(spark, root, "events").select(F.to_date("event_time").alias("day")).distinct()
+    middle = days.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_date(day))").alias("c")).head().c
+    cut = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(days=int(middle))
+    path, archive = f"{root}/events", f"{root}/archive"
+    policy = retention.Policy("events", "capture_time", 1)
+    now = cut + timedelta(days=1)
+    retention.drop_months(spark, path, cut, archive, now)
+    retention.expire_boundary(spark, path, policy, now, f"{root}/staging", archive)
+    archived = spark.read.text(archive).agg(F.count(F.lit(1)).alias("archived"))
+    kept = tables.read_log(spark, root, "events").groupBy("month").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.unix_millis("event_time")).alias("first_ms")
+    )
+    return kept.withColumn("archived", archived.scalar())
+
+
+@queries.add(
+    "stream_compacted",
+    CDC
+    + """SELECT topic, count(*) AS n, sum(event_id) AS offsets, 2 AS columns_per_folder FROM g GROUP BY topic""",
+)
+def stream_compacted(spark, sf):
+    """A store reads the same after its batches were folded, and goes on from there."""
+    root = f"{workspace(spark)}/tables"
+    store = ingestion.store_batch(root)
+    rows = messages(spark, sf)
+    for batch_id in range(4):
+        store(rows.where(F.col("offset") % 5 == batch_id), batch_id)
+        if batch_id == 2:
+            for name in tables.SCHEMAS:
+                if name not in tables.ALONE:
+                    tables.compact(spark, root, name)
+    store(rows, 4)
+    found = tables.read_log(spark, root, "events")
+    folders = tables.read_log(spark, root, "monitored_columns").select("batch_id").distinct()
+    return found.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets")).withColumn(
+        "columns_per_folder", folders.where("batch_id < 0").agg((F.count(F.lit(1)) + 1).cast("int")).scalar()
+    )
