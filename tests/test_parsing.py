@@ -18,23 +18,22 @@ def parse(landed, *documents):
     return ingest.parse_messages(landed(rows)).orderBy("offset").collect()
 
 
-def test_plain_event(landed):
-    row = parse(
-        landed,
-        {"event_type": "login", "event_time": "2023-10-10T10:10:10Z", "user_id": "user123", "service_name": "orders"},
-    )[0]
-    assert (row.event_type, row.user_id, row.parsed_service) == ("login", "user123", "orders")
-    assert row.event_time.replace(tzinfo=UTC) == datetime(2023, 10, 10, 10, 10, 10, tzinfo=UTC)
+def test_fields_of_a_plain_document(landed):
+    document = {"event_type": "docked", "event_time": "2021-03-04T05:06:07+02:00", "user_id": "ferry-9", "service_name": "harbour"}
+    row = parse(landed, document)[0]
+    assert [row.event_type, row.user_id, row.parsed_service] == ["docked", "ferry-9", "harbour"]
+    assert row.event_time.replace(tzinfo=UTC) == datetime(2021, 3, 4, 3, 6, 7, tzinfo=UTC)
 
 
-def test_change_event_with_millis(landed):
-    row = parse(landed, {"op": "c", "ts_ms": 1696932610000, "source": {"name": "dbserver1"}})[0]
-    assert (row.event_type, row.operation, row.parsed_service) == ("c", "INSERT", "dbserver1")
-    assert row.event_time.replace(tzinfo=UTC) == datetime(2023, 10, 10, 10, 10, 10, tzinfo=UTC)
+@pytest.mark.parametrize("key", ["name", "server"])
+def test_fields_of_a_change(landed, key):
+    row = parse(landed, {"op": "d", "ts_ms": 1234567890123, "source": {key: "tides"}})[0]
+    assert [row.event_type, row.operation, row.parsed_service] == ["d", "DELETE", "tides"]
+    assert row.event_time.replace(tzinfo=UTC) == datetime(2009, 2, 13, 23, 31, 30, 123000, tzinfo=UTC)
 
 
-def test_server_is_the_fallback_for_the_service(landed):
-    assert parse(landed, {"source": {"server": "sqlserver1"}})[0].parsed_service == "sqlserver1"
+def test_a_name_goes_before_a_server(landed):
+    assert parse(landed, {"source": {"server": "s", "name": "n"}})[0].parsed_service == "n"
 
 
 def test_malformed_and_wrapped_documents(landed):
