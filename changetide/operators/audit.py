@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetide.functions import values as V
+from changetide.operators import ordered, stats
 
 
 def unreplayed(spill: DataFrame, ids: Sequence[int] = ()) -> DataFrame:
@@ -40,6 +41,15 @@ def replay_spill(spill: DataFrame, actor: str, now: Column) -> tuple[DataFrame,
     return rows, marked
 
 
+def request_latency(log: DataFrame, took: str, bounds: Sequence[float], percent: float = 95) -> DataFrame:
+    """Per endpoint and method: counts of requests up to each bound, and an exact percentile."""
+    by = ["endpoint", "method"]
+    names = [f"le_{b:g}" for b in bounds]
+    counts = log.groupBy(*by).agg(*(F.count_if(F.col(took) <= b).alias(n) for b, n in zip(bounds, names)))
+    place = stats.percentiles(log, by, took, {"latency": percent})
+    return ordered.attach(counts, place, by)
+
+
 def request_rollup(log: DataFrame) -> DataFrame:
     """Requests, client errors and server errors per endpoint and method."""
     status = F.col("status_code")

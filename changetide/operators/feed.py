@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changetide.functions import present, signing
@@ -42,25 +42,37 @@ def feed_for(feed: DataFrame, tenant: str | None) -> DataFrame:
     return feed if tenant is None else feed.where(F.col("service_name") == tenant)
 
 
-def fan_out(feed: DataFrame, subscriptions: DataFrame, salts: int = 16) -> DataFrame:
+def _channels(feed: DataFrame, subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listeners with their channel, and the rows with each channel somebody may listen to."""
+    listeners = subscriptions.withColumn("channel", F.coalesce("tenant", F.lit(EVERYTHING))).drop("tenant")
+    catch_all = not subscriptions.where("tenant is null").isEmpty()
+    names = [F.col("service_name")] + [F.lit(EVERYTHING)] * catch_all
+    return listeners, feed.withColumn("channel", F.explode(F.array(*names)))
+
+
+def fan_out(feed: DataFrame, subscriptions: DataFrame, rows_per_salt: int = 1_000_000) -> DataFrame:
     """One row per (subscriber, event).
 
-    Every event is offered on its service channel and on the catch-all channel. Both sides of
-    the equi-join are salted, so neither a hot service nor the catch-all lands in one task.
-    ``subscriptions`` has columns subscriber and tenant (NULL for everything).
+    A channel is cut into as many salts as its volume asks for, so a hot service and the catch-all
+    channel spread over tasks; the catch-all is offered only if somebody listens to it.
+    ``subscriptions`` has columns subscriber and tenant (NULL for everything). The result is as
+    large as all deliveries; use ``fan_out_totals`` or ``feed_for`` where that is not wanted.
     """
-    channel = F.coalesce(F.col("tenant"), F.lit(EVERYTHING))
-    listeners = subscriptions.select(
-        "subscriber",
-        channel.alias("channel"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    offers = feed.select(
-        "*",
-        F.pmod(F.xxhash64("topic", "partition", "offset"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.array(F.col("service_name"), F.lit(EVERYTHING))).alias("channel"),
-    )
-    return offers.join(listeners, ["channel", "salt"]).drop("channel", "salt")
+    listeners, offers = _channels(feed, subscriptions)
+    volume = offers.groupBy("channel").agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("salts"))
+    heard = listeners.join(volume, "channel")
+    spread = heard.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    # cheap and even: any value below a channel's number of salts will do
+    dealt = F.pmod(F.xxhash64("topic", "partition", "offset"), F.col("salts")).cast("int")
+    salted = offers.join(volume, "channel").withColumn("salt", dealt).drop("salts")
+    return salted.join(spread.drop("salts"), ["channel", "salt"]).drop("channel", "salt")
+
+
+def fan_out_totals(feed: DataFrame, subscriptions: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Sums over what each subscriber gets, from sums per channel."""
+    listeners, offers = _channels(feed, subscriptions)
+    summed = offers.groupBy("channel").agg(*(c.alias(n) for n, c in totals.items()))
+    return listeners.join(summed, "channel").drop("channel")
 
 
 def distinct_feed(feed: DataFrame) -> DataFrame:

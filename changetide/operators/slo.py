@@ -261,6 +261,13 @@ def above_cohort_limit(samples: DataFrame, policies: DataFrame, limit: str) -> D
     )
 
 
+def cohort_alerts(
+    samples: DataFrame, policies: DataFrame, limit: str, hold: int, step: int = STEP
+) -> DataFrame:
+    """Periods in which a cohort stayed above its limit for at least ``hold`` seconds."""
+    return firing(above_cohort_limit(samples, policies, limit), ["cohort"], "over", hold, step)
+
+
 def threshold_alerts(samples: DataFrame, rules: DataFrame, step: int = STEP) -> DataFrame:
     """Static rules (metric, bound, hold) over (metric, step, value): firing periods."""
     by = W.partitionBy("metric").orderBy("step")

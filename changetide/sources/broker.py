@@ -66,11 +66,12 @@ def read_topics(spark: SparkSession, options: Mapping[str, str], stream: bool =
 
 def read_clusters(spark: SparkSession, clusters: Mapping[str, Mapping], stream: bool = True) -> DataFrame:
     """All clusters as one frame, each row naming its cluster."""
-    parts = [
-        read_topics(spark, cluster_options(c), stream).withColumn("cluster", F.lit(name))
-        for name, c in clusters.items()
-    ]
-    return union_all(parts)
+    return united({name: read_topics(spark, cluster_options(c), stream) for name, c in clusters.items()})
+
+
+def united(clusters: Mapping[str, DataFrame]) -> DataFrame:
+    """Frames of several clusters as one, each row naming its cluster."""
+    return union_all(frame.withColumn("cluster", F.lit(name)) for name, frame in clusters.items())
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changetide.functions import values
-from changetide.operators import catalog, ingest
+from changetide.operators import catalog, ingest, search
 from workload.samples import CDC, TYPES, Registry, events, parsed, table
 
 queries = Registry()
@@ -285,7 +285,7 @@ def schema_drift(spark, sf):
 @queries.add(
     "manifest_coverage",
     CDC
-    + """, w AS (SELECT DISTINCT 'eventdb.public.' || lower(p_type) AS topic FROM part WHERE p_size < 5
+    + """, w AS (SELECT DISTINCT 'eventdb.public.' || lower(p_type) AS topic FROM part
   UNION SELECT 'eventdb.public.' || t FROM (VALUES ('click'), ('view')) AS v(t)),
 s AS (SELECT DISTINCT topic FROM g)
 SELECT coalesce(w.topic, s.topic) AS topic,
@@ -295,7 +295,6 @@ FROM w FULL JOIN s ON w.topic = s.topic""",
 def manifest_coverage(spark, sf):
     wanted = (
         table(spark, sf, "part")
-        .where("p_size < 5")
         .select(F.concat(F.lit("eventdb.public."), F.lower("p_type")).alias("topic"))
         .unionByName(
             events(spark, sf)
@@ -311,12 +310,11 @@ def manifest_coverage(spark, sf):
     """SELECT s_suppkey AS id, 'svc' || s_nationkey AS service, 'public.t' || s_suppkey AS "table" FROM supplier""",
 )
 def reference_tables(spark, sf):
-    """``service.table`` references split at the first dot, as a column expression."""
-    ref = F.concat(F.lit("svc"), "s_nationkey", F.lit(".public.t"), "s_suppkey")
+    """``service.table`` references split at the first dot."""
+    ref = F.concat(F.lit(" svc"), "s_nationkey", F.lit(".public.t"), "s_suppkey")
+    found = search.reference_parts(ref)
     return table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("id"),
-        F.split_part(ref, F.lit("."), F.lit(1)).alias("service"),
-        F.regexp_replace(ref, "^[^.]*\\.", "").alias("table"),
+        F.col("s_suppkey").alias("id"), found["service"].alias("service"), found["table"].alias("table")
     )
 
 

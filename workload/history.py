@@ -122,7 +122,7 @@ def value_at_time(spark, sf):
 
 
 _BULK = """, l AS (SELECT event_id AS ask, event_type, user_id, col, epoch_us(ts) + 3600000000 AS at
-  FROM c, (VALUES ('k'), ('value')) AS t(col) WHERE event_id % 4 = 0),
+  FROM c, (VALUES ('id'), ('event_type'), ('value'), ('k')) AS t(col)),
 p AS (SELECT ask, l.event_type, l.user_id, l.col, h.ms, h.event_id, h.new_value,
   row_number() OVER (PARTITION BY ask, l.col ORDER BY h.ms DESC, h.event_id DESC) AS rn
   FROM l LEFT JOIN h ON h.event_type = l.event_type AND h.user_id = l.user_id AND h.col = l.col
@@ -132,14 +132,13 @@ FROM p WHERE rn = 1"""
 
 
 def _bulk(spark, sf, slicing):
-    facts = deltas(spark, sf).where(F.col("column_name").isin("k", "value"))
-    asked = events(spark, sf).where("event_id % 4 = 0")
-    lookups = asked.select(
+    facts = deltas(spark, sf)
+    lookups = events(spark, sf).select(
         F.col("event_id").alias("ask"),
         origin.table_id(
             F.lit("eventdb"), F.lit("analytics"), F.concat(F.lit("public."), "event_type")
         ).alias("table_id"),
-        F.explode(F.array(F.lit("k"), F.lit("value"))).alias("column_name"),
+        F.explode(F.array(*map(F.lit, ("id", "event_type", "value", "k")))).alias("column_name"),
         F.format_string('{"id":%d}', "user_id").alias("row_identity"),
         F.timestamp_micros(F.unix_micros("ts") + 3_600_000_000).alias("at"),
     )
@@ -157,7 +156,7 @@ def values_at_bulk(spark, sf):
 @queries.add(
     "values_at_by_column",
     CHANGES
-    + """, l AS (SELECT event_id AS ask, event_type, epoch_us(ts) AS at FROM c WHERE event_id % 5 = 0),
+    + """, l AS (SELECT event_id AS ask, event_type, epoch_us(ts) AS at FROM c),
 p AS (SELECT ask, h.ms, h.event_id, h.new_value,
   row_number() OVER (PARTITION BY ask ORDER BY h.ms DESC, h.event_id DESC) AS rn
   FROM l LEFT JOIN h ON h.event_type = l.event_type AND h.col = 'k' AND h.ms * 1000 <= l.at)
@@ -166,7 +165,7 @@ SELECT ask, new_value AS value, ms IS NOT NULL AS found FROM p WHERE rn = 1""",
 def values_at_by_column(spark, sf):
     """Table-scoped lookups: few hot keys, each cut into time slices."""
     facts = deltas(spark, sf).where(F.col("column_name") == "k")
-    lookups = events(spark, sf).where("event_id % 5 = 0").select(
+    lookups = events(spark, sf).select(
         F.col("event_id").alias("ask"),
         origin.table_id(
             F.lit("eventdb"), F.lit("analytics"), F.concat(F.lit("public."), "event_type")

@@ -145,11 +145,12 @@ r AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) A
 
 @queries.add(
     "latency_histogram",
-    _HIST + "SELECT event_type, CAST(le AS VARCHAR) AS le, n FROM h WHERE le < 1000",
+    _HIST + "SELECT event_type, CAST(le AS VARCHAR) AS le, n FROM h",
 )
 def latency_histogram(spark, sf):
     buckets = slo.histogram(events(spark, sf), ["event_type"], "value", BOUNDS)
-    return buckets.where("le < 1000").select("event_type", F.col("le").cast("string").alias("le"), "n")
+    le = F.when(F.col("le") == float("inf"), "inf").otherwise(F.col("le").cast("string"))
+    return buckets.select("event_type", le.alias("le"), "n")
 
 
 @queries.add(
@@ -211,14 +212,16 @@ def sli_rolling(spark, sf):
 @queries.add(
     "burn_rate",
     _COHORTS
-    + """SELECT sli.cohort, step, round((1 - s60) / (budget / 100), 4) AS burn_1h,
+    + """SELECT sli.cohort, step, round((1 - s5) / (budget / 100), 4) AS burn_5m, round((1 - s30) / (budget / 100), 4) AS burn_30m,
+  round((1 - s60) / (budget / 100), 4) AS burn_1h, round((1 - s360) / (budget / 100), 4) AS burn_6h,
   (1 - s60) / (budget / 100) > 14.4 AND (1 - s5) / (budget / 100) > 14.4 AS fast,
   (1 - s360) / (budget / 100) > 6 AND (1 - s30) / (budget / 100) > 6 AS slow
 FROM sli JOIN pol USING (cohort)""",
 )
 def burn_rate(spark, sf):
     found = slo.burn_rates(_sli(spark, sf), slo.cohort_policies(spark))
-    return found.select("cohort", "step", F.round("burn_1h", 4).alias("burn_1h"), "fast", "slow")
+    burns = (F.round(f"burn_{h}", 4).alias(f"burn_{h}") for h in slo.HORIZONS)
+    return found.select("cohort", "step", *burns, "fast", "slow")
 
 
 @queries.add(
@@ -245,15 +248,17 @@ g AS (SELECT cohort, unnest(range(min(step), max(step) + 60, 60)) AS step FROM k
 f AS (SELECT g.cohort, g.step, last_value(k.last IGNORE NULLS) OVER (PARTITION BY g.cohort ORDER BY g.step) AS last
   FROM g LEFT JOIN k ON g.cohort = k.cohort AND g.step = k.step),
 j AS (SELECT f.*, CASE WHEN step - last / 1000000.0 <= age THEN 1 ELSE 0 END AS fresh FROM f JOIN pol USING (cohort))
-SELECT cohort, step, round(avg(fresh) OVER (PARTITION BY cohort ORDER BY step RANGE BETWEEN 299 PRECEDING AND CURRENT ROW), 6) AS fresh_5m,
+SELECT cohort, step, round(step - last / 1000000.0, 6) AS staleness,
+  round(avg(fresh) OVER (PARTITION BY cohort ORDER BY step RANGE BETWEEN 299 PRECEDING AND CURRENT ROW), 6) AS fresh_5m,
+  round(avg(fresh) OVER (PARTITION BY cohort ORDER BY step RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW), 6) AS fresh_30m,
+  round(avg(fresh) OVER (PARTITION BY cohort ORDER BY step RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW), 6) AS fresh_1h,
   round(avg(fresh) OVER (PARTITION BY cohort ORDER BY step RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW), 6) AS fresh_6h FROM j""",
 )
 def freshness_sli(spark, sf):
     """Every event is a commit of its cohort; judged at every minute."""
     found = slo.freshness_sli(_cohorts(spark, sf), slo.cohort_policies(spark), "ts")
-    return found.select(
-        "cohort", "step", F.round("fresh_5m", 6).alias("fresh_5m"), F.round("fresh_6h", 6).alias("fresh_6h")
-    )
+    shares = (F.round(f"fresh_{h}", 6).alias(f"fresh_{h}") for h in slo.HORIZONS)
+    return found.select("cohort", "step", F.round("staleness", 6).alias("staleness"), *shares)
 
 
 @queries.add(
@@ -288,6 +293,22 @@ def lag_above_cohort_limit(spark, sf):
     return slo.above_cohort_limit(samples, slo.cohort_policies(spark), "max_consumer_lag")
 
 
+@queries.add(
+    "lag_alerts_held",
+    _COHORTS
+    + """, v AS (SELECT o.cohort, step, max(event_id % 6000) > lag AS over FROM o JOIN pol USING (cohort) GROUP BY o.cohort, step, lag),
+t AS (SELECT *, step - row_number() OVER (PARTITION BY cohort ORDER BY step) * 60 AS island FROM v WHERE over)
+SELECT cohort, min(step) AS pending_since, min(step) + 120 AS firing_since, max(step) AS until
+FROM t GROUP BY cohort, island HAVING max(step) - min(step) >= 120""",
+)
+def lag_alerts_held(spark, sf):
+    """Lag above the cohort's limit at every minute for two minutes."""
+    return slo.cohort_alerts(
+        _cohorts(spark, sf).select("cohort", slo.step_of(F.col("ts")).alias("step"), (F.col("event_id") % 6000).alias("value")),
+        slo.cohort_policies(spark), "max_consumer_lag", 120,
+    )
+
+
 @queries.add(
     "threshold_alerts",
     """WITH b AS (SELECT event_type AS metric, epoch_us(ts) // 1800000000 * 1800 AS step, max(value) AS value FROM events GROUP BY ALL),

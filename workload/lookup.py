@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 from datetime import datetime, timezone
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changetide.functions import parsing, signing
-from changetide.operators import dedupe, feed, ingest, search
-from changetide.sources import files
+from changetide.operators import catalog, changes, dedupe, feed, ingest, search
+from changetide.session import work_folder
+from changetide.sources import broker, files
 from workload.samples import (
     CDC,
+    CHANGES,
     Registry,
     events,
     messages,
@@ -175,17 +178,34 @@ def tenant_feed(spark, sf):
     CDC
     + """SELECT subscriber, count(*) AS n, sum(event_id) AS offsets
 FROM g JOIN (SELECT s_name AS subscriber, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 't' || s_suppkey % 4 END AS tenant
-  FROM supplier WHERE s_nationkey < 5) s ON s.tenant IS NULL OR s.tenant = 't' || user_id % 3
+  FROM supplier) s ON s.tenant IS NULL OR s.tenant = 't' || user_id % 3
 GROUP BY subscriber""",
 )
 def feed_fan_out(spark, sf):
-    """Every subscriber gets its tenant's events, one without a tenant gets all."""
-    listeners = table(spark, sf, "supplier").where("s_nationkey < 5").select(
+    """What every subscriber gets: its tenant's events, or all without a tenant. Counted per channel
+    first, so the pairs of events and subscribers are never made."""
+    listeners = table(spark, sf, "supplier").select(
         F.col("s_name").alias("subscriber"),
         F.expr("CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE concat('t', s_suppkey % 4) END").alias("tenant"),
     )
-    sent = feed.fan_out(_feed(spark, sf).drop("body"), listeners)
-    return sent.groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))
+    volume = {"n": F.count(F.lit(1)), "offsets": F.sum("offset")}
+    return feed.fan_out_totals(_feed(spark, sf).drop("body"), listeners, volume)
+
+
+@queries.add(
+    "feed_offers",
+    CDC
+    + """SELECT subscriber, event_id AS "offset"
+FROM g JOIN (SELECT n_name AS subscriber, CASE WHEN n_nationkey = 7 THEN NULL ELSE 't' || n_nationkey % 4 END AS tenant
+  FROM nation) s ON s.tenant IS NULL OR s.tenant = 't' || user_id % 3""",
+)
+def feed_offers(spark, sf):
+    """Every message with each of its subscribers, one row per delivery."""
+    listeners = table(spark, sf, "nation").select(
+        F.col("n_name").alias("subscriber"),
+        F.expr("CASE WHEN n_nationkey = 7 THEN NULL ELSE concat('t', n_nationkey % 4) END").alias("tenant"),
+    )
+    return feed.fan_out(_feed(spark, sf).drop("body"), listeners).select("subscriber", "offset")
 
 
 @queries.add("feed_distinct", CDC + """SELECT event_id AS "offset" FROM c""")
@@ -311,3 +331,141 @@ def hmac_of_keys(spark, sf):
     return table(spark, sf, "customer").select(
         "c_custkey", signing.hmac_sha256(F.col("c_name"), _LONG_KEY).alias("signature")
     )
+
+
+@queries.add(
+    "events_cursor_round_trip",
+    CDC
+    + """SELECT event_id AS "offset", ms AS event_ms, CASE WHEN rn <= 40 THEN total END AS total FROM
+(SELECT event_id, ms, row_number() OVER (ORDER BY ms DESC, event_id DESC) AS rn, count(*) OVER () AS total FROM g) WHERE rn <= 120""",
+)
+def events_cursor_round_trip(spark, sf):
+    """Three pages in a row over a stored table; each cursor goes through its text, the first page
+    alone has the total."""
+    path = f"{work_folder(spark)}/events"
+    files.write_table(stored(spark, sf), path, "capture_time")
+    kept = files.read_table(spark, path).select("topic", "partition", "offset", "capture_time", "month")
+    pages, cursor = [], None
+    for _ in range(3):
+        page = search.page_with_total(kept, cursor, limit=40)
+        pages.append(page)
+        after = search.next_cursor(page.collect(), 40)
+        if after is None:
+            break
+        cursor = search.read_cursor(search.cursor_text(after))
+    every = pages[0]
+    for page in pages[1:]:
+        every = every.unionByName(page)
+    return every.select("offset", millis("capture_time", "event_ms"), "total")
+
+
+@queries.add(
+    "changes_page_stored",
+    CHANGES
+    + """SELECT event_id AS "offset", col AS column_name, new_value FROM h
+WHERE ms < 1705276800000 ORDER BY ms DESC, event_id DESC, col DESC LIMIT 40""",
+)
+def changes_page_stored(spark, sf):
+    """A page of the stored changes; time and month are filtered in the scan."""
+    path = f"{work_folder(spark)}/changes"
+    files.write_table(changes.column_deltas(stored(spark, sf)), path, "changed_at")
+    kept = files.read_table(spark, path)
+    at = search.Cursor(datetime(2024, 1, 15, tzinfo=timezone.utc), (-1, ""))
+    page = search.keyset_page(kept, at, "changed_at", ("offset", "column_name"), 40)
+    return page.select("offset", "column_name", "new_value")
+
+
+@queries.add(
+    "named_changes",
+    CHANGES + """SELECT event_id AS "offset", col AS column_name, new_value FROM h""",
+)
+def named_changes(spark, sf):
+    """Changes stored with column ids get their names back from the catalog."""
+    rows = stored(spark, sf)
+    columns = catalog.discover_columns(rows)
+    found = changes.name_columns(changes.column_changes(rows, columns).drop("column_name"), columns)
+    return found.select("offset", "column_name", "new_value")
+
+
+@queries.add(
+    "event_responses",
+    CDC
+    + """SELECT event_id AS "offset", topic, op AS event_type, 'eventdb' AS service_name, operation, ms AS event_ms FROM g""",
+)
+def event_responses(spark, sf):
+    """Events as an event query returns them."""
+    rows = search.event_response(stored(spark, sf))
+    return rows.select("offset", "topic", "event_type", "service_name", "operation", millis("event_time", "event_ms"))
+
+
+@queries.add(
+    "change_responses",
+    CHANGES + """SELECT event_id AS "offset", col AS column_name, operation, old_value, new_value FROM h""",
+)
+def change_responses(spark, sf):
+    rows = changes.change_response(changes.column_deltas(stored(spark, sf)))
+    return rows.select("offset", "column_name", "operation", "old_value", "new_value")
+
+
+@queries.add(
+    "processed_events",
+    CDC + """SELECT event_id AS "offset", CASE WHEN user_id <> 0 THEN 'user-' || user_id END AS user_id FROM g""",
+)
+def processed_events(spark, sf):
+    """A step under its import path runs between filters and masks."""
+    rows = ingest.prepare_events(messages(spark, sf), processors=["workload.samples:tag_users"])
+    return rows.select("offset", "user_id")
+
+
+@queries.add(
+    "unreadable_bytes",
+    """SELECT doc_id AS "offset", CASE WHEN doc_id % 3 = 0 THEN 'invalid UTF-8' END AS error FROM documents""",
+)
+def unreadable_bytes(spark, sf):
+    """Strict decoding: a message with a wrong byte is an error row, with the byte replaced."""
+    docs = table(spark, sf, "documents")
+    good = F.to_json(F.struct(F.left("text", F.lit(200)).alias("text")))
+    value = F.when(F.expr("doc_id % 3 = 0"), F.concat(F.encode(good, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(good, "UTF-8"))
+    rows = docs.select(
+        F.lit("docs.text").alias("topic"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"), value.alias("value"),
+    )
+    return ingest.parse_messages(rows).select("offset", "error")
+
+
+@queries.add(
+    "sorted_columns",
+    CDC
+    + """SELECT t.table_name, col AS column_name, row_number() OVER (PARTITION BY t.table_name ORDER BY col) AS place
+FROM (SELECT DISTINCT 'public.' || event_type AS table_name FROM g) t, (VALUES ('id'), ('event_type'), ('value'), ('k')) AS c(col)""",
+)
+def sorted_columns(spark, sf):
+    """Columns of each table in the order in which they are listed."""
+    rows = stored(spark, sf)
+    listed = catalog.columns_by_name(catalog.discover_columns(rows))
+    place = F.row_number().over(W.partitionBy("table_id").orderBy("column_name")).cast("long")
+    names = catalog.discover_tables(rows).select("table_id", "table_name")
+    return listed.withColumn("place", place).join(names, "table_id").select("table_name", "column_name", "place")
+
+
+@queries.add(
+    "monthly_layout",
+    """SELECT strftime(ts, '%Y%m') AS month, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1""",
+)
+def monthly_layout(spark, sf):
+    """An unpartitioned table rewritten by month."""
+    path = f"{work_folder(spark)}/events"
+    files.write_table(events(spark, sf), path, "ts")
+    return files.read_table(spark, path).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@queries.add(
+    "clusters_united",
+    CDC
+    + """SELECT cluster, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'east' ELSE 'west' END AS cluster FROM c) GROUP BY cluster""",
+)
+def clusters_united(spark, sf):
+    """Messages of several clusters in one frame, each with the name of its cluster."""
+    rows = messages(spark, sf)
+    parts = {"east": rows.where("offset % 2 = 0"), "west": rows.where("offset % 2 = 1")}
+    return broker.united(parts).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -540,3 +540,20 @@ def spill_newest(spark, sf):
 def request_rollup(spark, sf):
     rows, _ = audit.replay_spill(audit.unreplayed(_spill(spark, sf)), "admin", F.lit(NOW))
     return audit.request_rollup(rows)
+
+
+@queries.add(
+    "request_latency",
+    """WITH r AS (SELECT '/events/' || event_type AS endpoint, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, value AS ms FROM events)
+SELECT endpoint, method, count(*) FILTER (ms <= 5) AS le_5, count(*) FILTER (ms <= 25) AS le_25,
+  count(*) FILTER (ms <= 100) AS le_100, round(quantile_cont(ms, 0.95), 6) AS p95 FROM r GROUP BY ALL""",
+)
+def request_latency(spark, sf):
+    """How long requests took, by endpoint: counts up to bounds and the 95th percentile."""
+    log = events(spark, sf).select(
+        F.concat(F.lit("/events/"), "event_type").alias("endpoint"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END").alias("method"),
+        F.col("value").alias("ms"),
+    )
+    found = audit.request_latency(log, "ms", (5, 25, 100))
+    return found.select("endpoint", "method", "le_5", "le_25", "le_100", F.round("latency", 6).alias("p95"))

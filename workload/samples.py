@@ -136,6 +136,11 @@ def millis(name: str, alias: str):
     return F.expr(f"unix_millis({name})").alias(alias)
 
 
+def tag_users(rows: DataFrame) -> DataFrame:
+    """A processing step: user ids with a prefix."""
+    return rows.withColumn("user_id", F.concat(F.lit("user-"), "user_id"))
+
+
 CDC = """
 WITH e AS (
   SELECT event_id, ts, user_id, event_type, value, props,
