@@ -8,9 +8,11 @@ shingle sets are one class from the start and are sketched and compared once.
 
 Candidates are confirmed on full shingle sets, in three steps that together cover every pair of
 one bucket: each class against the most popular class it shares a bucket with, each class against
-the most popular class of every bucket, and then all pairs of a bucket that are not connected yet.
-So a big group of copies costs a comparison per copy, and no link between unconnected texts is left
-out. Two texts at the threshold 0.8 share a bucket with a probability of 0.9998, closer ones nearly
+the most popular class of every bucket, and then the pairs of a bucket that are not connected yet.
+Of the last, those are left out that cannot reach the threshold: classes with too many shingles of
+their own, and pairs whose sizes or odd sketches differ by too much. These tests are bounds, not
+estimates. So a big group of copies costs a comparison per copy, and no link between unconnected
+texts is left out. Two texts at the threshold 0.8 share a bucket with a probability of 0.9998, closer ones nearly
 always.
 
 Null or wordless texts have empty sets and link with nothing. A text of fewer words than a shingle
@@ -31,6 +33,7 @@ from changetide.llm.scratch import stored
 from changetide.llm.words import mixed, shingle_set
 
 CHUNK = 4096
+ODD_WORDS = 32
 
 
 def _draws(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +62,13 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(high), int(low)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each place, set if an odd number of shingles falls there. The bits in which two
+    sketches differ are never more than the shingles in which the sets differ."""
+    held = np.bincount(shingles & np.uint64(64 * ODD_WORDS - 1), minlength=64 * ODD_WORDS) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int, m: int, piece: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, left_pieces, right_pieces) of every row; d1, d2: digest of the set."""
     factors, shifts = _draws(2 * m * piece, seed)
@@ -81,7 +91,7 @@ def sketches(docs: DataFrame, width: int, m: int, piece: int, seed: int, id_col:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, shingles) of the classes needed: (rep, d1, d2)."""
+    """(rep, d1, d2, shingles, odd) of the classes needed: (rep, d1, d2)."""
 
     def run(batches):
         for batch in batches:
@@ -93,14 +103,15 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
+                    pa.array([odd_sketch(f) for f in found], pa.list_(pa.int64())),
                 ],
-                names=["rep", "d1", "d2", "shingles"],
+                names=["rep", "d1", "d2", "shingles", "odd"],
             )
 
     frame = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     frame = frame.join(needed.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
-    sets = frame.mapInArrow(run, "rep long, d1 long, d2 long, shingles array<long>")
-    return sets.join(needed, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"]).drop("d1", "d2")
+    sets = frame.mapInArrow(run, "rep long, d1 long, d2 long, shingles array<long>, odd array<long>")
+    return sets.join(needed, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +161,7 @@ def _labelled(members: DataFrame, roots: DataFrame, node: str, name: str) -> Dat
     return members.join(named, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
-def linked_classes(members: DataFrame, sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
+def linked_classes(members: DataFrame, reps: DataFrame, sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
     """(node, root) over classes that are linked within the buckets, or by same (a, b)."""
     # the more popular first, then the smaller id
     first = F.struct(F.col("popular"), F.bitwise_not("rep").alias("back"))
@@ -174,18 +185,63 @@ def linked_classes(members: DataFrame, sets: DataFrame, same: DataFrame, percent
         roots = components(roots.toDF("a", "b").unionAll(found))
 
     named = _labelled(starred.select("key", "rep"), roots, "rep", "label")
-    counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-    main = main.where("labels > 1").select("key", F.col("top.label").alias("main"))
-    mixed_up = stored(named.join(main, "key"))
-    few = mixed_up.where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("al"))
-    rest = mixed_up.select("key", F.col("rep").alias("b"), F.col("label").alias("bl"), "main")
-    third = few.join(rest, "key").where("al <> bl and (bl = main or a < b)").select("a", "b")
+    able = _linkable(_mixed(named).select("rep").distinct(), sets, percent)
+    able = _labelled(able.join(reps.select("rep", "d1", "d2", "l"), ["rep", "d1", "d2"]), roots, "rep", "label")
+    third = _near_enough(able, percent)
     third = stored(_ordered(third).join(tried.unionAll(second), ["a", "b"], "left_anti"))
     found = stored(_confirmed(third, sets, percent))
     return roots if found.isEmpty() else components(roots.toDF("a", "b").unionAll(found))
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels, with the most frequent one as main."""
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    main = main.where("labels > 1").select("key", F.col("top.label").alias("main"))
+    return named.join(main, "key")
+
+
+def _linkable(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, d1, d2, n, odd) of the classes among reps that can link with another of them at all.
+
+    A shingle that no other set holds can't be shared, and a set with too many of these has no
+    partner. This settles the members of a big group that were changed too much to be near anyone."""
+    key = ["d1", "d2"]
+    own = stored(sets.join(reps, "rep", "left_semi").withColumn("n", F.size("shingles")))
+    held = own.select(*key, F.explode("shingles").alias("s")).groupBy("s")
+    held = held.agg(F.count("*").alias("sets"), F.min("d1").alias("d1"), F.min("d2").alias("d2"))
+    alone = held.where("sets = 1").groupBy(*key).agg(F.count("*").alias("alone"))
+    able = own.drop("shingles").join(alone, key, "left")
+    return able.where(f"100 * (n - coalesce(alone, 0)) >= {percent} * n").drop("alone")
+
+
+def _near_enough(able: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a left piece and that neither the sizes nor the odd
+    sketches rule out, each once, at the first piece they share.
+
+    Whoever meets in a table shares a left piece. Sets link if they differ in no more than
+    (100 - percent) / (100 + percent) of their sizes' sum, and the sketches' difference is a lower
+    bound of theirs; so members of a big group are compared by a few machine words, and only pairs
+    close to the threshold come out."""
+    rows = _mixed(stored(able.withColumn("key", F.explode("l"))))
+    few, rest = (
+        rows.select("key", "main", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "label", "n", "odd", "l")))
+        for side in ("a", "b")
+    )
+    few, rest = few.where("a_label <> main"), rest.drop("main")
+    differ = sum(
+        (F.bit_count(F.get("a_odd", F.lit(i)).bitwiseXOR(F.get("b_odd", F.lit(i)))) for i in range(ODD_WORDS)), F.lit(0)
+    )
+    n = F.col("a_n") + F.col("b_n")
+    near = (
+        F.expr("a_label <> b_label and (b_label = main or a_rep < b_rep)")
+        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        & (differ * (100 + percent) <= n * (100 - percent))
+        & (F.get(F.array_intersect("a_l", "b_l"), F.lit(0)) == F.col("key"))
+    )
+    return few.join(rest, "key").where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 4,
@@ -211,7 +267,7 @@ def near_duplicates(
     split = classed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     split = split.where("a < b").select("doc_id", "a")
     same = classed.join(split, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-    roots = linked_classes(members, sets, same, percent)
+    roots = linked_classes(members, reps, sets, same, percent)
     named = _labelled(classed, roots, "rep", "root")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return named.select(

@@ -146,6 +146,16 @@ def test_pieces_estimate_similarity():
     assert abs(same - 800 / 1200) < 0.08
 
 
+def test_odd_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 3)]
