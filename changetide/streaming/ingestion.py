@@ -106,19 +106,20 @@ def replay_dead_letters(
         raise ValueError("run_id starts at 1")
     batch_id = -run_id
     tables.begin(spark, root, batch_id)
-    letters = deadletter.replay_batch(tables.current_dead_letters(spark, root), limit).persist()
-    known = tables.known_positions(spark, root, deadletter.as_messages(letters)).persist()
+
+    def settled(frame: DataFrame, name: str) -> DataFrame:
+        """What the run decided stays as it is while the tables it was read from grow."""
+        path = f"{root}/_replays/run_id={run_id}/{name}"
+        frame.write.mode("overwrite").parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    letters = settled(deadletter.replay_batch(tables.current_dead_letters(spark, root), limit), "letters")
+    known = tables.known_positions(spark, root, deadletter.as_messages(letters))
     fresh, outcome = deadletter.replay(letters, known, **pipeline)
-    fresh, outcome = fresh.persist(), outcome.persist()
-    try:
-        marks = deadletter.replay_marks(letters, outcome, F.lit(now))
-        path = f"{root}/_replays/run_id={run_id}"
-        outcome.write.mode("overwrite").parquet(path)
-        _write_graph(spark, root, batch_id, fresh, fresh, marks, now)
-        return spark.read.schema(outcome.schema).parquet(path)
-    finally:
-        for frame in (letters, known, fresh, outcome):
-            frame.unpersist()
+    fresh, outcome = settled(fresh, "events"), settled(outcome, "outcome")
+    marks = deadletter.replay_marks(letters, outcome, F.lit(now))
+    _write_graph(spark, root, batch_id, fresh, fresh, marks, now)
+    return outcome
 
 
 def quota_batch(
