@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from changetide.session import checkpoint_dir
 
@@ -27,5 +28,15 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def drawn(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About so many rows, at most, chosen by a hash of keys: the same ones for the same table.
+
+    The hash thins the table out first, so every task hands on its share of the sample only."""
+    total = frame.count()
+    place = F.pmod(F.xxhash64(*keys), F.lit(2**40))
+    thinned = frame.withColumn("__place", place).where(F.col("__place") < int(min(1.0, 1.3 * (rows + 30) / max(total, 1)) * 2**40))
+    return thinned.orderBy("__place", *keys).limit(rows).drop("__place")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changetide.llm.scratch import folder, stored
+from changetide.llm.scratch import drawn, folder, stored
 
 # Fixed values of the formats.
 FRAME_MAGIC = 0xFD2FB528
@@ -236,9 +236,9 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0, samples: int = 400, s
     store, place = _store(root)
     store.create_dir(place, recursive=True)
     payload = F.substring(F.col("html").cast("string"), 1, sample_bytes)
-    drawn = pages.select(payload.alias("html"), F.xxhash64("html").alias("hash")).where("html is not null")
-    drawn = [r["html"].encode("utf-8", "surrogatepass") for r in drawn.orderBy("hash").limit(samples).collect()]
-    dictionary = trained([block_of(d, len(d)) for d in drawn])
+    sample = drawn(pages.where("html is not null").select("page_id", payload.alias("html")), samples, "page_id", "html")
+    heads = [r["html"].encode("utf-8", "surrogatepass") for r in sample.collect()]
+    dictionary = trained([block_of(h, len(h)) for h in heads])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
