@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changetide.llm.scratch import stored
+from changetide.llm.scratch import drawn, stored
 
 CHUNK = 4096
 QUERIES = 256
@@ -119,9 +119,9 @@ class Index:
         if not self.rows:
             return
         bound = max(1, min(sample_rows, sample_bytes // (8 * self.d)))
-        drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow().column(0).combine_chunks()
+        sample = drawn(vectors, bound, "id").select("v").toArrow().column(0).combine_chunks()
         lists = 1 if self.rows <= 1000 else min(max_lists, int(np.ceil(np.sqrt(self.rows))))
-        self.means = centroids(_matrix(drawn, np.float64), lists)
+        self.means = centroids(_matrix(sample, np.float64), lists)
         self.lists = len(self.means)
         self.assigned = stored(self._assigned(vectors))
         counts = {r["list"]: r["n"] for r in self.assigned.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -242,11 +242,11 @@ class Index:
         """How many lists hold target_recall of the true neighbours of some queries."""
         if self.lists == 1:
             return 1
-        drawn = queries.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(calibration).toArrow().combine_chunks()
-        if not drawn.num_rows:
+        sample = drawn(queries, calibration, "id").toArrow().combine_chunks()
+        if not sample.num_rows:
             return 1
-        q_ids = drawn.column(0).to_numpy()
-        q = _matrix(drawn.column(1).combine_chunks(), np.float64)
+        q_ids = sample.column(0).to_numpy()
+        q = _matrix(sample.column(1).combine_chunks(), np.float64)
         shared = self.spark.sparkContext.broadcast((q_ids, q))
 
         def run(batches):
