@@ -2,16 +2,16 @@
 
 Features are runs of one to three lower-cased letters and word borders, hashed into buckets and
 weighted by (1 + log count) * idf, at unit length. Document frequencies cover every learning row.
-The weights are fitted on a bounded sample: by a hash of the text, about max_rows over all
-languages, equally many of each where there are enough, repeated texts once. They are fitted by
-follow-the-regularised-leader with L1 and L2 penalties, so most of them are zero; a fifth of the
-sample is kept back to fit the temperature that calibrates the scores. The same rows give the same
-model.
+The weights are fitted on a bounded sample: about max_rows over all languages, of each equally many
+distinct texts with a letter, those with the smallest hashes, or all of them if there are fewer; one
+at least. They are fitted by follow-the-regularised-leader with L1 and L2 penalties, so most of them
+are zero; a fifth of the sample is kept back to fit the temperature that calibrates the scores, but
+never all texts of a language. The same rows give the same model.
 
 Null texts and texts without a letter get `und` with score 0, and so does everything if no row can
-be learned from. Rows without language or text aren't learned from. Of more than max_languages
-languages the most frequent are learned (ties: the smaller name). Texts of any length are read
-whole, in slices.
+be learned from. Rows without language or text aren't learned from. Every language with a text to
+learn from is learned; with more than max_rows of them the sample holds one text of each. Texts of
+any length are read whole, in slices.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changetide.llm.scratch import stored
+
 BITS = 14
 SIZE = 1 << BITS
 SLICE = 1 << 20
@@ -129,8 +131,9 @@ def fit(rows: list, languages: list[str], idf: np.ndarray, epochs: int, alpha: f
         return found
 
     data = [(place[name], *vector(dense(at, n), idf)) for name, at, n in rows]
-    kept_back = [d for i, d in enumerate(data) if i % 5 == 4]
-    learned = [d for i, d in enumerate(data) if i % 5 != 4] or data
+    heard = {d[0] for i, d in enumerate(data) if i % 5 != 4}
+    kept_back = [d for i, d in enumerate(data) if i % 5 == 4 and d[0] in heard]
+    learned = [d for i, d in enumerate(data) if i % 5 != 4 or d[0] not in heard]
     # the last row is the bias, always on
     state = Ftrl(SIZE + 1, len(languages), alpha, l1, l2)
     rng = np.random.default_rng(11)
@@ -138,8 +141,10 @@ def fit(rows: list, languages: list[str], idf: np.ndarray, epochs: int, alpha: f
         for i in rng.permutation(len(learned)):
             label, at, x = learned[i]
             state.step(np.append(at, SIZE), np.append(x, 1.0), label)
-    w = state.weights(slice(None))
-    model = Model(languages, idf.astype(np.float32), w[:SIZE].astype(np.float32), w[SIZE].astype(np.float32))
+    w = np.empty((SIZE + 1, len(languages)), np.float32)
+    for i in range(0, SIZE + 1, 512):  # in parts, as many languages make it large
+        w[i : i + 512] = state.weights(slice(i, i + 512))
+    model = Model(languages, idf.astype(np.float32), w[:SIZE], w[SIZE])
     if kept_back and len(languages) > 1:
         logits = np.stack([x @ model.weights[at] + model.bias for _, at, x in kept_back])
         labels = np.array([d[0] for d in kept_back])
@@ -168,7 +173,6 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     max_rows: int = 4000,
-    max_languages: int = 500,
     epochs: int = 4,
     alpha: float = 0.5,
     l1: float = 0.02,
@@ -177,39 +181,52 @@ def train(
     text = F.col(text_col).cast("string").alias("text")
     lang = F.col(lang_col).cast("string").alias("lang")
     usable = F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    rows = docs.where(usable).select(lang, text)
+    rows = docs.where(usable).select(lang, text).withColumn("hash", F.xxhash64("text"))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]):
+    def read(batches: Iterator[pa.RecordBatch]):
+        """Rows (at, n): documents by bucket, at -1 of all; and (lang, hash) of the texts with a letter."""
         seen, docs_seen = np.zeros(SIZE, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            keep = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 found = counts(text)
                 if found is not None:
                     seen += found > 0
                     docs_seen += 1
+                    keep.append(i)
+            held = batch.take(pa.array(keep, pa.int64()))
+            none = pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.int64())
+            yield pa.RecordBatch.from_arrays([*none, held.column(0), held.column(2)], names=["at", "n", "lang", "hash"])
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], docs_seen))], names=["at", "n"]
-        )
+        at, n = pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], docs_seen))
+        none = pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([at, n, *none], names=["at", "n", "lang", "hash"])
 
+    # copies of a text become one row in the tasks that read them
+    found = rows.mapInArrow(read, "at int, n long, lang string, hash long")
+    found = stored(found.groupBy("at", "lang", "hash").agg(F.sum("n").alias("n")))
     # at most one row for each bucket comes to the driver
-    df = rows.select("text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    df = {r["at"]: r["n"] for r in df.collect()}
+    df = {r["at"]: r["n"] for r in found.where("at is not null").select("at", "n").collect()}
     held = np.zeros(SIZE)
     for at, n in df.items():
         if at >= 0:
             held[at] = n
     idf = np.log((1 + df.get(-1, 0)) / (1 + held)) + 1
 
-    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    many = {r["lang"]: r["n"] for r in by_lang.collect()}
+    place = F.pmod("hash", F.lit(2**31))
+    texts = found.where("at is null").select("lang", place.alias("place"))
+    by_lang = stored(texts.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")))
+    many = by_lang.count()
     if not many:
         return Model([], idf, np.zeros((SIZE, 0)), np.zeros(0))
-    each = max(1, max_rows // len(many))
-    share = F.create_map(*(F.lit(x) for name, n in many.items() for x in (name, int(min(1.0, each / n) * 2**31))))
-    hashed = F.xxhash64("text")
-    drawn = rows.where(F.pmod(hashed, F.lit(2**31)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-    drawn = drawn.withColumn("hash", hashed).dropDuplicates(["hash", "lang"])
+    each = max(1, max_rows // many)
+    # thinned out by the hash before they are ranked, with a margin that leaves `each` of them
+    thin = F.greatest(F.col("least"), F.least(F.lit(1.0), 1.3 * (each + 30) / F.col("n")) * 2**31)
+    ranked = texts.join(by_lang, "lang").where(F.col("place") <= thin)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= each)
+    limits = stored(ranked.groupBy("lang").agg(F.max("place").alias("limit")))
+    drawn = rows.join(limits, "lang").where(place <= F.col("limit")).dropDuplicates(["hash", "lang"])
 
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

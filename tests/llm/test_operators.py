@@ -7,6 +7,7 @@ import os
 import random
 import struct
 import sys
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -273,6 +274,26 @@ def test_held_out_rows_teach_nothing(spark):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights) and np.array_equal(a.idf, b.idf)
 
 
+def test_copies_take_no_place_in_the_sample(spark):
+    copied = [prose(random.Random(i), 25, "stuvwxyz") for i in range(20)]
+    rows = [r for r in lang_rows() if r[2] != "cc"]
+    rows += [(5000 + i, copied[i % 20], "cc") for i in range(6000)]
+    learnt = [i for i in range(20_000, 20_200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows += [(learnt[0], prose(random.Random(77), 30, "\u0431\u0432\u0433\u0434"), "dd")]  # its only text
+    rows += [(learnt[1 + i], "12 34", "ee") for i in range(20)]  # nothing to learn
+    docs = docs_of(spark, rows).repartition(8)
+    model = langid.train(docs, max_rows=80)
+    assert model.languages == ["aa", "bb", "cc", "dd"]
+    got = langid.identified(docs.where("lang = 'cc'").limit(200), model).collect()
+    assert np.mean([r.lang_pred == "cc" for r in got]) > 0.97
+
+
+def test_rare_languages_are_learned(spark):
+    ids = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 != 2][:510]
+    docs = docs_of(spark, [(i, prose(random.Random(i), 10), f"l{i}") for i in ids])
+    assert langid.train(docs, epochs=1).languages == sorted(f"l{i}" for i in ids)
+
+
 def test_calibration_and_slices():
     rng = np.random.default_rng(1)
     logits = rng.normal(size=(4000, 3)) * 2
