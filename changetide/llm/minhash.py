@@ -276,3 +276,22 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near duplicates, with the columns of docs.
+
+    Rows without an id are documents by their text, so they link like others and equal ones are one.
+    Of a group the document with the smallest id stays, one without an id only if none has one; of
+    its rows, the one with the longest text."""
+    text = F.col(text_col).cast("string")
+    # ids of their own for rows without one, in [2^62, 2^63), above the usual ids
+    own = F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), own))
+    near = near_duplicates(keyed, id_col="__key", text_col=text_col)
+    # a wordless row of a document is alone in its component; the document's other rows tell its group
+    kept = near.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("root")).where("root = __key")
+    order = F.struct(F.coalesce(F.char_length(F.trim(text)), F.lit(-1)), F.xxhash64(*docs.columns))
+    # a repeated row becomes one in each task that reads it, before rows are dealt out by key
+    rows = keyed.groupBy("__key").agg(F.max_by(F.struct(*docs.columns), order).alias("__row"))
+    return rows.join(kept.select("__key"), "__key", "left_semi").select("__row.*")

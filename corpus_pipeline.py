@@ -24,10 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; repeated rows of one document once."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return joined
+    """One row for each group of near duplicates, repeated rows and rows without an id included."""
+    return minhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

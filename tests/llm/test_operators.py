@@ -602,3 +602,24 @@ def test_pipeline_stages_on_odd_rows(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, SF))
     assert docs.count() == 0 if empty else docs.count() > 0
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = [prose(rng, 40) for _ in range(6)]
+    rows = [(10, texts[0])] * 500 + [(11, texts[0]), (None, texts[0])]  # copies, one without an id
+    rows += [(20, texts[1]), (20, texts[2]), (21, texts[2])]  # an id with two texts
+    rows += [(None, texts[3])] * 3 + [(None, texts[3] + " tail")]  # no id in the group
+    rows += [(30, texts[4]), (31, texts[4]), (31, ""), (None, ""), (None, ""), (None, None), (None, None)]
+    rows += [(40, ""), (40, texts[5]), (41, "")]
+    docs = docs_of(spark, rows).repartition(5)
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [10, 20, 30, 40, 41]
+    assert {r.doc_id: r.text for r in got if r.doc_id in (10, 30, 40)} == {10: texts[0], 30: texts[4], 40: texts[5]}
+    bare = [r.text for r in got if r.doc_id is None]
+    assert len(bare) == 3 and bare.count("") == bare.count(None) == 1
+    assert [t for t in bare if t] in ([texts[3]], [texts[3] + " tail"])
