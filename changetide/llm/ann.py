@@ -8,9 +8,11 @@ distance of the k-th found so far by more than chance allows are given up. Survi
 exactly on the original vectors. The first list is scanned alone; its k-th distance is the bound with
 which all other lists are scanned.
 
-Centroids are fitted on a bounded sample (sample_rows, sample_bytes); every row is in the index. The
-number of lists that queries probe is the smallest that holds target_recall of the true neighbours of
-calibration queries, which are compared with every row. Chunks of one list are dealt over tasks by a
+Centroids are fitted on a bounded sample (sample_rows, sample_bytes), started from distinct vectors,
+and those that end without a row are dropped; every row is in the index. The number of lists that
+queries probe is the smallest that holds target_recall of the true neighbours of calibration
+queries, which are compared with every row. Queries that find fewer than k rows there, though there
+are more, probe twice as many lists, and so on until they have k or have seen all lists. Chunks of one list are dealt over tasks by a
 hash of their ids, so a list that holds most rows is scanned by many tasks.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
@@ -52,15 +54,16 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    lists = min(lists, len(sample))
-    means = sample[rng.choice(len(sample), lists, replace=False)].copy()
+    distinct = np.sort(np.unique(sample, axis=0, return_index=True)[1])
+    lists = min(lists, len(distinct))
+    means = sample[distinct[rng.choice(len(distinct), lists, replace=False)]].copy()
     for _ in range(rounds):
         near = _squared(sample, means).argmin(1)
         sums = np.zeros_like(means)
         np.add.at(sums, near, sample)
         n = np.bincount(near, minlength=lists)
         means = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], means)
-    return means
+    return means[np.unique(_squared(sample, means).argmin(1))]
 
 
 def rotation(d: int, seed: int = 2) -> np.ndarray:
@@ -193,8 +196,8 @@ class Index:
         rows = self.assigned.withColumn("salt", self.salt("list", "id"))
         return self._packed(rows, None, 2 * CHUNK, True).drop("extra")
 
-    def probes(self, queries: DataFrame, count: int) -> DataFrame:
-        """(id, v, list, turn) for the count lists nearest to each query; turn from 0."""
+    def probes(self, queries: DataFrame, count: int, start: int = 0) -> DataFrame:
+        """(id, v, list, turn) for the count lists nearest to each query, from place start on; turn from 0."""
         means = self.spark.sparkContext.broadcast(self.means)
 
         def run(batches):
@@ -203,7 +206,7 @@ class Index:
                     continue
                 x = _matrix(batch.column(1), np.float64)
                 near = np.concatenate(
-                    [np.argsort(_squared(x[i : i + 256], means.value), 1, kind="stable")[:, :count] for i in range(0, len(x), 256)]
+                    [np.argsort(_squared(x[i : i + 256], means.value), 1, kind="stable")[:, start : start + count] for i in range(0, len(x), 256)]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "near"]
@@ -315,6 +318,15 @@ def nearest(
     bounds = bounds.select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     rest = probes.where("turn > 0").join(bounds, "id", "left").fillna(float("inf"), ["bound"])
     every = found.unionAll(stored(index.scanned(rest, k, block, epsilon)))
-    every = every.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    every = stored(every.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    enough = min(k, rows.select("id").distinct().count() - 1)
+    while count < index.lists:  # each time twice the lists, so a few rounds at most
+        full = every.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+        asked = stored(asked.join(full.select(F.col("query_id").alias("id")), "id", "left_anti").select("id", "v"))
+        if not enough or asked.isEmpty():
+            break
+        more = index.probes(asked, count, count).withColumn("bound", F.lit(float("inf")))
+        every = stored(every.unionAll(index.scanned(more, k, block, epsilon)))
+        count *= 2
     ranked = every.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

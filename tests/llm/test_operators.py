@@ -452,6 +452,40 @@ def test_nearest_odd_rows(spark):
 # chunks
 
 
+def test_nearest_on_clusters_and_copies(spark):
+    rng = np.random.default_rng(8)
+    tight = [rng.normal(size=16) * 10 for _ in range(3)]
+    far = [rng.normal(size=16) * 100 for _ in range(24)]  # groups of few rows: less than k in a list
+    vectors = [tight[i % 3] + rng.normal(size=16) * 0.01 for i in range(3000)]
+    vectors += [tight[0]] * 1500  # copies
+    vectors += [far[i % 24] + rng.normal(size=16) * 0.01 for i in range(96)]
+    ids = [i for i in range(20_000) if i % 100][: len(vectors)]
+    asked = [0, 1000, 2000, *range(3000, 3005), *range(4500, 4596, 4)]  # dense, copies and scattered ones
+    for n, i in enumerate(asked):
+        ids[i] = 100 * (n + 1)
+    vectors = np.array(vectors)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in ann.nearest(frame, F.col("id") % 100 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    assert {q: len(v) for q, v in found.items()} == {ids[i]: 10 for i in asked}
+    near = []
+    for i in asked:
+        exact = np.sort(np.delete(np.sqrt(((vectors - vectors[i]) ** 2).sum(1)), i))[:10]
+        near += [a <= b + 1e-9 for a, b in zip(sorted(found[ids[i]]), exact)]
+    assert np.mean(near) > 0.9
+
+
+def test_nearest_of_a_row_alone_in_its_list(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(2000, 8))
+    vectors[0] = 1000.0
+    monkeypatch.setattr(ann, "centroids", lambda *_: np.array([np.zeros(8), np.full(8, 1000.0)]))
+    frame = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = [r.query_id for r in ann.nearest(frame, F.col("id") % 50 == 0).collect()]
+    assert {q: got.count(q) for q in set(got)} == {q: 10 for q in range(0, 4000, 50)}
+
+
 def test_rolling_hash_is_the_gear_hash():
     data = np.frombuffer(os.urandom(500), np.uint8)
     h, want = 0, []
