@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changetide.llm import ann, bpe, chat, chunks, langid, minhash, mixing, pii, quality, warc
+from changetide.llm import ann, bpe, chat, chunks, langid, lloyd, minhash, mixing, pii, quality, simhash, warc, whitening
 from changetide.llm.scratch import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,18 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.per_document(docs, pii.findings(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.compressed(table(spark, sf_dir, "embeddings"))
+
+
 OP7_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -106,6 +118,55 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f
 """
 
+_CODED = """
+a{r} AS (
+  SELECT id, pos, part, arg_min(entry, far * 1000 + entry) AS entry, min(far) AS far
+  FROM (
+    SELECT p.id, p.pos, p.part, b.entry, list_sum(list_transform(range(1, len(p.part) + 1), lambda i: (p.part[i] - b.part[i]) ** 2))::BIGINT AS far
+    FROM p JOIN b{r} AS b USING (pos)
+  )
+  GROUP BY id, pos, part
+)"""
+
+_LEARNED = """,
+s{r} AS (
+  SELECT pos, entry, list(v ORDER BY i) AS part
+  FROM (
+    SELECT pos, entry, i, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS v
+    FROM (SELECT pos, entry, unnest(range(1, w + 1)) AS i, unnest(part) AS c FROM (SELECT *, len(part) AS w FROM a{r}))
+    GROUP BY pos, entry, i
+  )
+  GROUP BY pos, entry
+),
+b{n} AS (
+  SELECT pos, entry, coalesce(s{r}.part, b{r}.part) AS part FROM b{r} LEFT JOIN s{r} USING (pos, entry)
+),"""
+
+OP13_SQL = (
+    """
+WITH x AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x, len(embedding) // 4 AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+p AS (
+  SELECT id, pos, x[pos * w + 1 : (pos + 1) * w] AS part, w FROM x, (SELECT unnest(range(4)) AS pos)
+),
+f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM x ORDER BY id LIMIT 256),
+b0 AS (SELECT p.pos, f.entry, p.part FROM p JOIN f USING (id)),"""
+    + "".join(_CODED.format(r=r) + _LEARNED.format(r=r, n=r + 1) for r in range(4))
+    + _CODED.format(r=4)
+    + """,
+c AS (
+  SELECT id, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(far)::BIGINT AS error FROM a4 GROUP BY id
+),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM c JOIN x USING (id) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b4)
+SELECT c.id AS vec_id, c.code, c.error, l.label_error, h.codebooks_sha256
+FROM c JOIN x USING (id) JOIN l ON l.label IS NOT DISTINCT FROM x.label, h
+"""
+)
+
 queries = {
     "op1_adaptive_scan": (op1_adaptive_scan, None),
     "op2_warc_zstd": (op2_warc_zstd, None),
@@ -117,4 +178,7 @@ queries = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_prefix_target": (op9_prefix_target, None),
     "op10_contextual_pii": (op10_contextual_pii, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_simhash_ball": (op12_simhash_ball, None),
+    "op13_resident_lloyd": (op13_resident_lloyd, OP13_SQL),
 }
