@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -115,8 +116,10 @@ def as_messages(letters: DataFrame) -> DataFrame:
     )
 
 
-def replay(letters: DataFrame, stored: DataFrame, **pipeline) -> tuple[DataFrame, DataFrame]:
-    """Run letters through the normal path.
+def replay(
+    letters: DataFrame, stored: DataFrame, new: Callable[[DataFrame, DataFrame], DataFrame] = new_positions, **pipeline
+) -> tuple[DataFrame, DataFrame]:
+    """Run letters through the normal path; ``new`` tells which positions are not stored yet.
 
     Returns the events to store and one (key…, status, error) row per letter, where status is
     replayed, duplicate, skipped (filtered out) or failed.
@@ -124,7 +127,7 @@ def replay(letters: DataFrame, stored: DataFrame, **pipeline) -> tuple[DataFrame
     messages = as_messages(letters)
     events = ingest.prepare_events(messages, **pipeline)
     good, bad = split_errors(events)
-    fresh = new_positions(good, stored)
+    fresh = new(good, stored)
 
     def marked(df: DataFrame, status: str) -> DataFrame:
         return df.select(*POSITION, F.lit(status).alias("status"), F.col("error"))

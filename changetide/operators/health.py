@@ -152,6 +152,25 @@ def ingestion_counters(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def outcome_counters(prepared: DataFrame, stored: DataFrame) -> DataFrame:
+    """Consumed, processed, duplicate and failed events of a batch by service.
+
+    prepared: the batch as parsed, with ``error``; stored: the events it added. What neither failed nor
+    was added had a known position, or came twice in the batch."""
+    seen = prepared.groupBy("service_name").agg(
+        F.count(F.lit(1)).alias("consumed"), F.count_if(F.col("error").isNotNull()).alias("failed")
+    )
+    added = stored.groupBy(F.col("service_name").alias("_service")).agg(F.count(F.lit(1)).alias("_added"))
+    processed = F.coalesce("_added", F.lit(0))
+    return seen.join(added, F.col("service_name").eqNullSafe(F.col("_service")), "left").select(
+        "service_name",
+        "consumed",
+        processed.alias("processed"),
+        (F.col("consumed") - F.col("failed") - processed).alias("duplicate"),
+        "failed",
+    )
+
+
 def failure_counts(outcomes: DataFrame) -> DataFrame:
     return (
         outcomes.where(F.col("outcome") == "failed")

@@ -82,10 +82,22 @@ def write_archive(rows: DataFrame, path: str, now: datetime) -> int:
     return seen.get["n"]
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+def remove_folders(spark: SparkSession, patterns: list[str]) -> None:
+    """Delete the folders that match patterns, through the file system they lie in."""
+    for pattern in patterns:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(where) or ():
+            fs.delete(found.getPath(), True)
+
+
+def _layout(df: DataFrame) -> list[str]:
+    """By month, and by batch inside where batches are told apart."""
+    return [c for c in ("month", "batch_id") if c in df.columns]
+
+
+def _folders(path: str, rows: list) -> list[str]:
+    return [path + "".join(f"/{name}={value}" for name, value in row.asDict().items()) for row in rows]
 
 
 def drop_months(
@@ -94,28 +106,24 @@ def drop_months(
     cutoff: datetime,
     archive_to: str | None = None,
     now: datetime | None = None,
+    rows: DataFrame | None = None,
 ) -> list[str]:
-    """Drop whole ``month=…`` folders that end at or before the cutoff.
+    """Drop whole months that end at or before the cutoff, archiving them first if asked to.
 
-    Folder names are listed, no data is read, unless the months are archived first.
+    rows: what counts as stored, where that is not all of ``path`` (a table with unfinished batches);
+    folders of other batches stay, and their rows are neither archived nor dropped. Months are read off
+    the folders, data only for the archive.
     """
-    fs, root = _filesystem(spark, path)
-    names = [
-        s.getPath().getName().removeprefix("month=")
-        for s in fs.listStatus(root)
-        if s.getPath().getName().startswith("month=")
-    ]
-    old = [
-        m for m in sorted(names)
-        if m.isdigit() and _month_end(m) <= cutoff.replace(tzinfo=None)
-    ]
+    stored = spark.read.parquet(path) if rows is None else rows
+    stored = stored.withColumn("month", F.col("month").cast("string"))
+    folders = stored.select(*_layout(stored)).distinct().collect()
+    folders = [r for r in folders if r.month and r.month.isdigit() and _month_end(r.month) <= cutoff.replace(tzinfo=None)]
+    old = sorted({r.month for r in folders})
     if old and archive_to:
-        rows = spark.read.parquet(path).where(F.col("month").cast("string").isin(*old))
-        if write_archive(rows, archive_to, now or cutoff) != rows.count():
+        expired = stored.where(F.col("month").isin(*old))
+        if write_archive(expired, archive_to, now or cutoff) != expired.count():
             raise RuntimeError("archive is incomplete; nothing was dropped")
-    for month in old:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"month={month}")
-        fs.delete(folder, True)
+    remove_folders(spark, _folders(path, folders))
     return old
 
 
@@ -124,11 +132,6 @@ def _month_end(month: str) -> datetime:
     return datetime(year + number // 12, number % 12 + 1, 1)
 
 
-def _layout(df: DataFrame) -> list[str]:
-    """By month, and by batch inside where batches are told apart."""
-    return [c for c in ("month", "batch_id") if c in df.columns]
-
-
 def rewrite_months(df: DataFrame, path: str, staging: str) -> None:
     """Replace the months (or their batches) ``df`` covers, although ``df`` may read from ``path``.
 
@@ -144,13 +147,15 @@ def rewrite_months(df: DataFrame, path: str, staging: str) -> None:
 
 def expire_boundary(
     spark: SparkSession, path: str, policy: Policy, now: datetime, staging: str,
-    archive_to: str | None = None,
+    archive_to: str | None = None, rows: DataFrame | None = None,
 ) -> None:
-    """Remove expired rows from the one month the cutoff falls into, archiving them first."""
+    """Remove expired rows from the one month the cutoff falls into, archiving them first.
+
+    rows: as for ``drop_months``."""
     if policy.days <= 0:
         return
     month = (now - timedelta(days=policy.days)).strftime("%Y%m")
-    every = spark.read.parquet(path)
+    every = spark.read.parquet(path) if rows is None else rows
     stored = every.withColumn("month", F.col("month").cast("string")).where(F.col("month") == month)
     old = expired_rows(stored, policy, now)
     if archive_to and write_archive(old, archive_to, now) != old.count():
@@ -160,10 +165,7 @@ def expire_boundary(
     # a folder whose rows all expired is not among those that get rewritten
     emptied = stored.select(*layout).distinct().join(kept.select(*layout).distinct(), layout, "left_anti").collect()
     rewrite_months(kept, path, staging)
-    fs, root = _filesystem(spark, path)
-    for row in emptied:
-        folder = "/".join(f"{c}={row[c]}" for c in layout)
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, folder), True)
+    remove_folders(spark, _folders(path, emptied))
 
 
 def partition_by_month(df: DataFrame, column: str) -> DataFrame:

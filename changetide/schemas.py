@@ -45,7 +45,9 @@ QUEUE_MESSAGE = _columns(
     "queue string, delivery_tag bigint, timestamp timestamp, body string"
 )
 
-POSITIONS = _columns("topic string, partition int, offset bigint")
+POSITION_RUNS = _columns(
+    "topic string, partition int, span bigint, first_offset bigint, last_offset bigint"
+)
 
 EVENTS = _columns(
     """topic string, partition int, offset bigint, event_type string, event_time timestamp,
@@ -98,6 +100,12 @@ AUDIT_SPILL = _columns(
 
 LEGACY_EVENTS = _columns("id bigint, value string")
 
+INGESTION_COUNTERS = _columns(
+    "service_name string, consumed bigint, processed bigint, duplicate bigint, failed bigint"
+)
+
+BATCHES = _columns("state string, seq bigint, folded string, upto bigint")
+
 # Keys
 POSITION = ("topic", "partition", "offset")
 # Order of events with equal time: numeric first, so that ties can be cut into ranges.

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from changetide.operators import deadletter, dedupe, feed, ingest, quota
+from changetide.operators import deadletter, feed, health, ingest, quota, runs
 from changetide.plans import graph
 from changetide.schemas import POSITION
-from changetide.streaming import tables
+from changetide.streaming import progress, tables
 
 
 def distinct_messages(messages: DataFrame, horizon: str) -> DataFrame:
@@ -48,19 +48,27 @@ def _store(
     if not tables.begin(spark, root, batch_id):
         return
     moment = spark.range(1).select(now).head()[0]
-    prepared = _timed(ingest.prepare_events(messages, **pipeline), moment).persist()
-    try:
-        good, bad = deadletter.split_errors(prepared, on_error)
-        fresh = dedupe.new_positions(good, tables.known_positions(spark, root, prepared))
-        _write_graph(spark, root, batch_id, good, fresh, deadletter.dead_letters(bad, F.lit(moment)), moment)
-    finally:
-        prepared.unpersist()
+    # Written once: what follows neither parses again nor plans through the parse.
+    parsed = _timed(ingest.prepare_events(messages, **pipeline), moment)
+    prepared = _settled(parsed, f"{root}/_staging/batch")
+    good, bad = deadletter.split_errors(prepared, on_error)
+    fresh = runs.new_positions(good, tables.known_positions(spark, root, prepared))
+    letters = deadletter.dead_letters(bad, F.lit(moment))
+    stored = _write_graph(spark, root, batch_id, good, fresh, letters, moment)
+    tables.write_batch(health.outcome_counters(prepared, stored), root, "ingestion_counters", batch_id)
+    tables.publish(spark, root, batch_id)
+
+
+def _settled(frame: DataFrame, path: str) -> DataFrame:
+    """What was computed stays as it is while the tables it was read from grow."""
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _write_graph(
     spark: SparkSession, root: str, batch_id: int, good: DataFrame, fresh: DataFrame, letters: DataFrame, moment: datetime
-) -> None:
-    """Catalog entries, dead letters, changes, events and positions of a batch, then publish it."""
+) -> DataFrame:
+    """Write catalog entries, dead letters, changes, events and positions of a batch; returns the events as written."""
     described, _ = graph.catalog_columns(good, tables.current_columns(spark, root))
     tables.write_batch(graph.catalog_tables(good, tables.current_tables(spark, root)), root, "monitored_tables", batch_id)
     tables.write_batch(described, root, "monitored_columns", batch_id)
@@ -69,10 +77,11 @@ def _write_graph(
     events = graph.identified_events(fresh, columns)
     tables.write_batch(graph.audited_changes(events, columns), root, "column_changes", batch_id)
     tables.write_batch(graph.stored_events(events, F.lit(moment)), root, "events", batch_id)
-    placed, _ = dedupe.split_positions(fresh)
-    tables.write_batch(placed, root, "positions", batch_id)
+    # positions are read off what is stored, so they cannot say otherwise
+    stored = tables.written(spark, root, "events", batch_id)
+    tables.write_batch(runs.runs_of(stored), root, "positions", batch_id)
     tables.write_batch(letters, root, "dead_letter_events", batch_id)
-    tables.publish(spark, root, batch_id)
+    return stored
 
 
 def ingest_stream(
@@ -82,10 +91,15 @@ def ingest_stream(
     *,
     dedupe_horizon: str | None = None,
     trigger: Mapping[str, object] | None = None,
+    services: Sequence[str] = (),
     **options,
 ) -> DataStreamWriter:
-    """Ready-to-start writer; the default trigger drains what is there and stops."""
-    source = distinct_messages(messages, dedupe_horizon) if dedupe_horizon else messages
+    """Ready-to-start writer; the default trigger drains what is there and stops.
+
+    Each micro-batch reports what it read with its progress (``progress.observed``), split by the
+    first part of the topic for the services named."""
+    source = progress.observed(messages, services)
+    source = distinct_messages(source, dedupe_horizon) if dedupe_horizon else source
     return (
         source.writeStream.foreachBatch(store_batch(root, **options))
         .option("checkpointLocation", checkpoint)
@@ -108,17 +122,15 @@ def replay_dead_letters(
     tables.begin(spark, root, batch_id)
 
     def settled(frame: DataFrame, name: str) -> DataFrame:
-        """What the run decided stays as it is while the tables it was read from grow."""
-        path = f"{root}/_replays/run_id={run_id}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
+        return _settled(frame, f"{root}/_replays/run_id={run_id}/{name}")
 
     letters = settled(deadletter.replay_batch(tables.current_dead_letters(spark, root), limit), "letters")
     known = tables.known_positions(spark, root, deadletter.as_messages(letters))
-    fresh, outcome = deadletter.replay(letters, known, **pipeline)
+    fresh, outcome = deadletter.replay(letters, known, runs.new_positions, **pipeline)
     fresh, outcome = settled(fresh, "events"), settled(outcome, "outcome")
     marks = deadletter.replay_marks(letters, outcome, F.lit(now))
     _write_graph(spark, root, batch_id, fresh, fresh, marks, now)
+    tables.publish(spark, root, batch_id)
     return outcome
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changetide.functions import parsing, signing
-from changetide.operators import catalog, changes, dedupe, feed, ingest, search
+from changetide.operators import catalog, changes, dedupe, feed, ingest, runs, search
 from changetide.session import work_folder
 from changetide.sources import broker, files
 from workload.samples import (
@@ -270,6 +270,48 @@ def insert_ignore(spark, sf):
     return dedupe.new_positions(redelivered(rows), rows.where("offset % 4 = 0")).select("offset", "event_type")
 
 
+@queries.add(
+    "insert_ignore_runs",
+    CDC + """SELECT event_id AS "offset", op AS event_type FROM g WHERE event_id % 4 <> 0""",
+)
+def insert_ignore_runs(spark, sf):
+    """The same against runs of stored positions."""
+    rows = stored(spark, sf)
+    known = runs.runs_of(rows.where("offset % 4 = 0"))
+    return runs.new_positions(redelivered(rows), known).select("offset", "event_type")
+
+
+_ISLANDS = """, i AS (SELECT DISTINCT topic, part, event_id FROM g),
+j AS (SELECT *, event_id - row_number() OVER (PARTITION BY topic, part ORDER BY event_id) AS island FROM i)
+"""
+
+
+@queries.add(
+    "position_runs",
+    CDC
+    + _ISLANDS
+    + """SELECT topic, part AS partition, min(event_id) AS first_offset, max(event_id) AS last_offset
+FROM j GROUP BY topic, part, event_id // 1000000, island""",
+)
+def position_runs(spark, sf):
+    """Stored positions as runs without gaps."""
+    found = runs.runs_of(redelivered(stored(spark, sf)))
+    return found.select("topic", "partition", "first_offset", "last_offset")
+
+
+@queries.add(
+    "position_gaps",
+    CDC
+    + _ISLANDS
+    + """, r AS (SELECT topic, part AS partition, min(event_id) AS a, max(event_id) AS b FROM j GROUP BY topic, part, island),
+n AS (SELECT *, lead(a) OVER (PARTITION BY topic, partition ORDER BY a) AS after FROM r)
+SELECT topic, partition, b + 1 AS first_offset, after - 1 AS last_offset FROM n WHERE after IS NOT NULL""",
+)
+def position_gaps(spark, sf):
+    """Offsets missing between stored ones: lost messages, or ones that became dead letters."""
+    return runs.missing_runs(runs.runs_of(stored(spark, sf)))
+
+
 @queries.add(
     "inserted_events",
     CDC + """SELECT event_id AS "offset" FROM m WHERE event_id % 4 <> 0""",

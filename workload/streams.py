@@ -6,6 +6,7 @@ them and reads the result.
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timedelta, timezone
 
@@ -16,7 +17,7 @@ from changetide.operators import changes, deadletter, ingest, ordered, quota, re
 from changetide.schemas import POSITION
 from changetide.session import work_folder
 from changetide.sources import files
-from changetide.streaming import ingestion, tables
+from changetide.streaming import ingestion, progress, tables
 from workload.samples import CDC, CHANGES, Registry, events, messages, millis, redelivered
 
 queries = Registry()
@@ -257,21 +258,27 @@ def stream_without_time(spark, sf):
 @queries.add(
     "stream_replay",
     CHANGES
-    + """SELECT 'event' AS kind, operation AS label, count(*) AS n FROM g WHERE event_id % 5 = 0 GROUP BY ALL
-UNION ALL SELECT 'change', h.col, count(*) FROM h JOIN g USING (event_id) WHERE event_id % 5 = 0 GROUP BY ALL
-UNION ALL SELECT 'column', t.col, count(*) FROM (SELECT DISTINCT event_type FROM g WHERE event_id % 5 = 0), (VALUES ('id'), ('event_type'), ('value'), ('k')) AS t(col) GROUP BY ALL
-UNION ALL SELECT 'pending', 'letters', 0""",
+    + """SELECT 'event' AS kind, operation AS label, count(*) AS n FROM g GROUP BY ALL
+UNION ALL SELECT 'change', col, count(*) FROM h GROUP BY ALL
+UNION ALL SELECT 'column', t.col, count(*) FROM (SELECT DISTINCT event_type FROM g), (VALUES ('id'), ('event_type'), ('value'), ('k')) AS t(col) GROUP BY ALL
+UNION ALL SELECT 'pending', 'letters', 0
+UNION ALL SELECT 'replayed', status, count(*) FROM (SELECT CASE WHEN event_id % 10 = 0 THEN 'duplicate' ELSE 'replayed' END AS status FROM g WHERE event_id % 5 = 0) GROUP BY ALL""",
 )
 def stream_replay(spark, sf):
-    """Letters of tables nobody has seen are replayed: events, changes, catalog and marks."""
+    """All messages are stored but for a fifth that broke downstream; its letters are replayed onto that
+    store. Every other letter's event had been stored nevertheless, and is known by its position."""
     root = f"{workspace(spark)}/tables"
-    rows = messages(spark, sf).where("offset % 5 = 0")
-    bad = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(rows)))
+    rows = messages(spark, sf)
+    broke = F.col("offset") % 5 == 0
+    ingestion.store_batch(root)(rows.where(~broke | (F.col("offset") % 10 == 0)), 0)
+    bad = ingest.filter_event_types(ingest.parse_messages(ingest.skip_tombstones(rows.where(broke))))
     bad = bad.withColumn("error", F.lit("broken downstream"))
-    tables.begin(spark, root, 0)
-    tables.write_batch(deadletter.dead_letters(bad, F.col("event_time")), root, "dead_letter_events", 0)
-    tables.publish(spark, root, 0)
-    ingestion.replay_dead_letters(spark, root, 1, datetime(2030, 1, 1, tzinfo=timezone.utc), limit=max(1, bad.count()))
+    tables.begin(spark, root, 1)
+    tables.write_batch(deadletter.dead_letters(bad, F.col("event_time")), root, "dead_letter_events", 1)
+    tables.publish(spark, root, 1)
+    outcome = ingestion.replay_dead_letters(
+        spark, root, 1, datetime(2030, 1, 1, tzinfo=timezone.utc), limit=max(1, bad.count())
+    )
     log = lambda name: tables.read_log(spark, root, name)
     counted = lambda df, kind, label: df.groupBy(
         F.lit(kind).alias("kind"), F.col(label).alias("label")
@@ -282,9 +289,78 @@ def stream_replay(spark, sf):
         .unionByName(counted(log("column_changes"), "change", "column_name"))
         .unionByName(counted(tables.current_columns(spark, root), "column", "column_name"))
         .unionByName(pending.select(F.lit("pending").alias("kind"), F.lit("letters").alias("label"), F.col("pending").alias("n")))
+        .unionByName(counted(outcome, "replayed", "status"))
     )
 
 
+_RUNS = """, p AS (SELECT DISTINCT topic, part, event_id FROM g),
+i AS (SELECT *, event_id - row_number() OVER (PARTITION BY topic, part, event_id // 1000000 ORDER BY event_id) AS island FROM p),
+r AS (SELECT topic, part AS partition, event_id // 1000000 AS span, min(event_id) AS first_offset, max(event_id) AS last_offset
+  FROM i GROUP BY topic, part, event_id // 1000000, island)
+"""
+
+
+@queries.add(
+    "stream_position_runs",
+    CDC + _RUNS + "SELECT topic, partition, span, first_offset, last_offset FROM r",
+)
+def stream_position_runs(spark, sf):
+    """What a store knows of its positions after several batches and folding: a row per gap, not per event."""
+    root = f"{workspace(spark)}/tables"
+    store = ingestion.store_batch(root)
+    rows = redelivered(messages(spark, sf))
+    for batch_id in range(3):
+        store(rows.where(F.col("offset") % 3 <= batch_id), batch_id)
+    tables.compact(spark, root, "positions")
+    return tables.read_log(spark, root, "positions").select("topic", "partition", "span", "first_offset", "last_offset")
+
+
+@queries.add(
+    "stream_counters",
+    CDC
+    + """, r AS (SELECT event_id FROM g UNION ALL SELECT event_id FROM g WHERE event_id % 10 = 0),
+n AS (SELECT (SELECT count(*) FROM r) AS consumed, (SELECT count(*) FROM g) AS processed)
+SELECT 'eventdb' AS service_name, 2 * consumed AS consumed, processed, 2 * consumed - processed AS duplicate, 0 AS failed FROM n""",
+)
+def stream_counters(spark, sf):
+    """Counters by service after a restart at which every message comes once more."""
+    where = workspace(spark)
+    root = f"{where}/tables"
+    path = land(spark, sf, where)
+    for attempt in range(2):  # a new checkpoint: the broker delivers everything again
+        source = files.read_messages(spark, path, stream=True, max_files=3)
+        writer = ingestion.ingest_stream(source, root, f"{where}/checkpoint{attempt}")
+        if attempt:
+            store = ingestion.store_batch(root)
+            writer = writer.foreachBatch(lambda df, i: store(df, 1000 + i))
+        run(writer)
+    return tables.counters(spark, root)
+
+
+@queries.add(
+    "stream_observed",
+    CDC
+    + """, t AS (SELECT event_id, event_id % 103 = 0 AS gone FROM c UNION ALL SELECT event_id, event_id % 103 = 0 FROM c WHERE event_id % 10 = 0)
+SELECT 'messages' AS metric, CAST(NULL AS VARCHAR) AS service, count(*) AS value FROM t
+UNION ALL SELECT 'tombstones', NULL, count(*) FILTER (gone) FROM t
+UNION ALL SELECT 'messages', 'eventdb', count(*) FROM t
+UNION ALL SELECT 'messages', 'otherdb', 0""",
+)
+def stream_observed(spark, sf):
+    """What a stream counted on its way and reported with its progress, logged by a listener's table."""
+    where = workspace(spark)
+    source = files.read_messages(spark, land(spark, sf, where), stream=True, max_files=3)
+    query = ingestion.ingest_stream(
+        source, f"{where}/tables", f"{where}/checkpoint", services=("eventdb", "otherdb")
+    ).start()
+    query.awaitTermination()
+    log = progress.ProgressLog(spark, f"{where}/progress")
+    for report in query.recentProgress:
+        found = json.loads(report.json)
+        log.add(progress.progress_rows(found), progress.observed_rows(found))
+    return log.counts().groupBy("metric", "service").agg(F.sum("value").alias("value"))
+
+
 @queries.add(
     "stream_retention",
     CDC
@@ -302,8 +378,13 @@ def stream_retention(spark, sf):
     path, archive = f"{root}/events", f"{root}/archive"
     policy = retention.Policy("events", "capture_time", 1)
     now = cut + timedelta(days=1)
-    retention.drop_months(spark, path, cut, archive, now)
-    retention.expire_boundary(spark, path, policy, now, f"{root}/staging", archive)
+    # a batch that broke off before its end is no business of retention
+    tables.begin(spark, root, 10**6)
+    unfinished = tables.read_log(spark, root, "events").withColumn("topic", F.lit("unfinished"))
+    tables.write_batch(unfinished, root, "events", 10**6)
+    visible = lambda: tables.read_log(spark, root, "events").drop("seq")
+    retention.drop_months(spark, path, cut, archive, now, visible())
+    retention.expire_boundary(spark, path, policy, now, f"{root}/staging", archive, visible())
     archived = spark.read.text(archive).agg(F.count(F.lit(1)).alias("archived"))
     kept = tables.read_log(spark, root, "events").groupBy("month").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.unix_millis("event_time")).alias("first_ms")
@@ -327,6 +408,7 @@ def stream_compacted(spark, sf):
             for name in tables.SCHEMAS:
                 if name not in tables.ALONE:
                     tables.compact(spark, root, name)
+                    tables.vacuum(spark, root, name)
     store(rows, 4)
     found = tables.read_log(spark, root, "events")
     folders = tables.read_log(spark, root, "monitored_columns").select("batch_id").distinct()
