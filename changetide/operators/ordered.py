@@ -154,31 +154,55 @@ def _fine(x: Column) -> Column:
     return bucket * (BUCKETS + 2) + _bucket(x, own["_cut_l"], own["_cut_h"])
 
 
+def surely_small(df: DataFrame, slicing: Slicing) -> bool:
+    """Does the optimizer expect fewer bytes of an input than a hot group has rows? Then none is hot."""
+    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return int(size) < slicing.hot_rows
+
+
+def cut_plan(df: DataFrame, keys: Sequence[str], order: str, slicing: Slicing = DEFAULT) -> DataFrame | None:
+    """One stored row per hot group with its cuts; None if no group is hot.
+
+    Counts ``df`` at once, unless it is surely small; the rows of hot groups are read once more. A plan
+    serves any frame whose groups are among those of ``df``, row by row: cuts need not be even.
+    """
+    if surely_small(df, slicing):
+        return None
+    spark = df.sparkSession
+    numbered = df.select(*keys, order).withColumn("_cut_x", _number(df, order))
+    groups = _hot_groups(numbered, keys, slicing)
+    path = work_folder(spark)
+    groups.write.parquet(path + "/groups")
+    groups = spark.read.schema(groups.schema).parquet(path + "/groups")
+    if groups.isEmpty():
+        return None
+    hot_rows = _hot_rows(numbered, groups, keys, order).persist()
+    try:
+        plan = _cuts(hot_rows, groups, keys, order, slicing)
+        plan.write.parquet(path + "/cuts")
+    finally:
+        hot_rows.unpersist()
+    return spark.read.schema(plan.schema).parquet(path + "/cuts")
+
+
 def sliced(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     ties: Sequence[str] = (),
     slicing: Slicing = DEFAULT,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_slice``, ``_sub`` (order-preserving) and ``_hot``.
 
-    Runs a count of ``df`` at once; only if a group is hot are its cuts worked out, once, and stored.
+    like: a frame that is cheaper to read and has at least the groups of ``df``, to be cut by.
     """
-    spark = df.sparkSession
-    numbered = df.withColumn("_cut_x", _number(df, order))
-    groups = _hot_groups(numbered, keys, slicing)
-    if groups.isEmpty():
+    plan = cut_plan(df if like is None else like, keys, order, slicing)
+    if plan is None:
         none = F.lit(0).cast("bigint")
         return df.select("*", F.lit(False).alias("_hot"), none.alias("_slice"), none.alias("_sub"))
-    hot_rows = _hot_rows(numbered, groups, keys, order).persist()
-    try:
-        plan = _cuts(hot_rows, groups, keys, order, slicing)
-        path = work_folder(spark)
-        plan.write.parquet(path)
-    finally:
-        hot_rows.unpersist()
-    joined = attach(numbered, spark.read.schema(plan.schema).parquet(path), keys)
+    numbered = df.withColumn("_cut_x", _number(df, order))
+    joined = attach(numbered, plan, keys)
     joined = joined.withColumn("_cut_b", _bucket(F.col("_cut_x"), F.col("_cut_low"), F.col("_cut_high")))
     joined = joined.withColumn("_cut_f", _fine(F.col("_cut_x")))
     hot = F.col("_cut_starts").isNotNull()
@@ -207,10 +231,11 @@ def running_sum(
     sums: dict[str, Column],
     ties: Sequence[str] = (),
     slicing: Slicing = DEFAULT,
+    like: DataFrame | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per group, as new columns named by ``sums``."""
+    """Inclusive running sums per group, as new columns named by ``sums``; like: as for ``sliced``."""
     inputs = df.select("*", *(value.alias("_v_" + name) for name, value in sums.items()))
-    cut = sliced(inputs, keys, order, ties, slicing)
+    cut = sliced(inputs, keys, order, ties, slicing, like)
     rows = _inside(keys, order, ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = cut.withColumns({"_l_" + name: F.sum("_v_" + name).over(rows) for name in sums})
 
@@ -242,9 +267,10 @@ def row_number(
     name: str,
     ties: Sequence[str] = (),
     slicing: Slicing = DEFAULT,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Exact 1-based position of each row in its group."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, ties, slicing)
+    return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, ties, slicing, like)
 
 
 def carry_last(

@@ -42,26 +42,32 @@ def _admit(
     seconds: int,
     slicing: ordered.Slicing,
     carried: DataFrame | None,
+    arrived: DataFrame,
 ) -> DataFrame:
     """Add ``_ok_<dimension>``: first ``limit`` eligible rows per identity and window.
 
-    Rows the rule does not concern are spread over many idle groups instead of forming one.
+    Rows the rule does not concern are spread over many idle groups instead of forming one. Cuts are made
+    from all that arrived, so that no earlier stage has to be run for them.
     """
-    counted = eligible & identity.isNotNull() & (limit > 0)
     keys = ["_identity", "_window", "_idle"]
-    staged = df.withColumns(
-        {
-            "_counted": counted,
-            "_identity": F.when(counted, identity),
-            "_window": F.when(counted, window_start(F.col(arrival), seconds)),
-            "_idle": F.when(counted, F.lit(-1)).otherwise(
-                F.pmod(F.xxhash64(arrival, *ties), F.lit(_IDLE_GROUPS)).cast("int")
-            ),
-            "_limit": limit,
-            "_order": F.unix_micros(arrival),
-        }
-    )
-    ranked = ordered.row_number(staged, keys, "_order", "_rank", ties, slicing)
+
+    def staged(rows: DataFrame, able: Column) -> DataFrame:
+        counted = able & identity.isNotNull() & (limit > 0)
+        return rows.withColumns(
+            {
+                "_counted": counted,
+                "_identity": F.when(counted, identity),
+                "_window": F.when(counted, window_start(F.col(arrival), seconds)),
+                "_idle": F.when(counted, F.lit(-1)).otherwise(
+                    F.pmod(F.xxhash64(arrival, *ties), F.lit(_IDLE_GROUPS)).cast("int")
+                ),
+                "_limit": limit,
+                "_order": F.unix_micros(arrival),
+            }
+        )
+
+    like = staged(arrived, F.lit(True))
+    ranked = ordered.row_number(staged(df, eligible), keys, "_order", "_rank", ties, slicing, like)
     used = F.lit(0)
     if carried is not None:
         earlier = carried.where(F.col("dimension") == dimension).select(
@@ -100,7 +106,7 @@ def apply_quota(
     if _limits_anything(source_limit, source_overrides):
         decided = _admit(
             events, "source", F.col(source), source_cap, F.lit(True),
-            arrival, ties, window_seconds, slicing, carried,
+            arrival, ties, window_seconds, slicing, carried, events,
         )
     else:
         decided = events.withColumn("_ok_source", F.lit(True))
@@ -113,7 +119,7 @@ def apply_quota(
         tenant_cap = limit_of(F.col(tenant), tenant_limit, tenant_overrides)
         decided = _admit(
             decided, "tenant", F.col(tenant), tenant_cap, F.col("_ok_source"),
-            arrival, ties, window_seconds, slicing, carried,
+            arrival, ties, window_seconds, slicing, carried, events,
         )
         dropped = F.coalesce(dropped, F.when(~F.col("_ok_tenant"), F.struct(
             F.lit("tenant").alias("dimension"),

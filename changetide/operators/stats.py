@@ -5,32 +5,44 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changetide.operators import ordered
+from changetide.operators import ordered, selection
 
 
-def _cumulative(
-    df: DataFrame, groups: Sequence[str], value: str, slicing: ordered.Slicing
-) -> DataFrame:
-    """Distinct values per group with their running count and the group's total.
+def _ordered(df: DataFrame, groups: list[str], value: str, ranks: selection.Ranks) -> DataFrame:
+    """(groups, _n, _lo_<name>, _hi_<name>): values at ranks, by ordering each group's distinct values.
 
-    Equal values collapse inside each task; a group with very many distinct values is ranked in
-    slices. So no task ever holds a group's values, as the built-in exact percentile would.
-    """
-    tallied = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+    Equal values collapse inside each task first, so no task holds a group's values, as the built-in exact
+    percentile would."""
+    tallied = df.groupBy(*groups, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*groups)
+    upto = whole.orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = tallied.withColumns({"_cum": F.sum("_c").over(upto), "_n": F.sum("_c").over(whole)})
+    at = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col("_x")))
+    return ranked.groupBy(*groups, "_n").agg(
+        *(column for name, (_, low, high) in ranks.items() for column in (at(low).alias("_lo_" + name), at(high).alias("_hi_" + name)))
     )
-    ranked = ordered.running_sum(tallied, groups, "_x", {"_cum": F.col("_c")}, slicing=slicing)
-    totals = tallied.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    return ordered.attach(ranked, totals, groups)
 
 
-def _at(index: Column) -> Column:
-    """Value at a 0-based rank of the sorted group."""
-    return F.min(F.when(F.col("_cum") > index, F.col("_x")))
+def _at_ranks(
+    df: DataFrame, groups: list[str], value: str, ranks: selection.Ranks, slicing: ordered.Slicing
+) -> DataFrame:
+    """Values at ranks; groups above the bound are not ordered but searched."""
+    known = df.where(F.col(value).isNotNull())
+    if ordered.surely_small(known.select(*groups, value), slicing):
+        return _ordered(known, groups, value, ranks)
+    counts = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    hot = selection.stored(counts.where(F.col("_size") > slicing.hot_rows))
+    if hot.isEmpty():
+        return _ordered(known, groups, value, ranks)
+    renamed = hot.select(*(F.col(g).alias("_r_" + g) for g in groups))
+    is_hot = ordered.same_keys(known, renamed, groups, "_r_")
+    large = known.join(renamed, is_hot, "left_semi")
+    sketches = selection.stored(selection.sketched(large, groups, value))
+    found = selection.selected(known, sketches, groups, value, ranks)
+    return found.unionByName(_ordered(known.join(renamed, is_hot, "left_anti"), groups, value, ranks))
 
 
 def percentiles(
@@ -50,7 +62,6 @@ def percentiles(
     if not groups:
         keyed = df.withColumn("_all", F.lit(0))
         return percentiles(keyed, ["_all"], value, named, exclusive, slicing).drop("_all")
-    ranked = _cumulative(df, groups, value, slicing)
     n = F.col("_n")
 
     def bounds(p: float) -> tuple[Column, Column, Column]:
@@ -63,13 +74,7 @@ def percentiles(
         j = F.greatest(F.lit(1), F.least(F.floor(place), n - 1))
         return F.greatest(j - 1, F.lit(0)), F.least(j, n - 1), F.when(n == 1, 0.0).otherwise(place - j)
 
-    picked = ranked.groupBy(*groups, "_n").agg(
-        *(
-            column
-            for name, p in named.items()
-            for column in (_at(bounds(p)[0]).alias("_lo_" + name), _at(bounds(p)[1]).alias("_hi_" + name))
-        )
-    )
+    picked = _at_ranks(df, groups, value, {name: (p / 100, *bounds(p)[:2]) for name, p in named.items()}, slicing)
     return picked.select(
         *groups,
         *(

@@ -185,3 +185,68 @@ def test_as_of_ties_and_deletes(spark):
     got = changes.values_at(facts, lookups).collect()
     found = {(r.table_id, r.row_identity, int(r["at"].timestamp())): (r.value, r.found) for r in got}
     assert sorted(found.values(), key=str) == sorted([(None, False), (None, True), ("7", True), (None, False)], key=str)
+
+
+@pytest.mark.parametrize("margins", [(0.01, 0.1, 1.0), (0.0, 0.0001, 1.0), (1.0,)])
+def test_selection_is_exact_whatever_the_sketch_says(spark, monkeypatch, margins):
+    """Brackets that are too narrow are noticed; NaN comes last, nulls don't count, ties are kept apart by rank."""
+    from changetide.operators import selection
+
+    monkeypatch.setattr(selection, "MARGINS", margins)
+    monkeypatch.setattr(selection, "SKETCH", 8)
+    rng = random.Random(3)
+    data = {
+        "wide": [rng.gauss(0, 1e6) for _ in range(3000)],
+        "ties": [float(rng.randrange(5)) for _ in range(2000)],
+        None: [rng.random() for _ in range(500)] + [float("nan")] * 40 + [float("inf"), float("-inf")],
+        "nan": [float("nan")] * 60,
+        "few": [3.0, 1.0, None],
+    }
+    rows = [(k, x) for k, xs in data.items() for x in xs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    got = stats.percentiles(df, ["k"], "x", {"p0": 0, "p50": 50, "p99": 99, "p100": 100}, slicing=ordered.Slicing(50, 4, 1000))
+    found = {r.k: (r.p0, r.p50, r.p99, r.p100) for r in got.collect()}
+    assert set(found) == set(data)
+    for k, xs in data.items():
+        xs = sorted((x for x in xs if x is not None), key=lambda x: (x != x, x))
+        for p, value in zip((0, 50, 99, 100), found[k]):
+            place = p * (len(xs) - 1) / 100
+            low, high = xs[int(place)], xs[min(int(place) + 1, len(xs) - 1)]
+            want = low * (1 - place % 1) + high * (place % 1)
+            assert value == pytest.approx(want, nan_ok=True), (k, p)
+
+
+def test_selection_reads_integers_and_decimals(spark):
+    df = spark.range(1001).select(F.lit(1).alias("k"), F.col("id").alias("x"), (F.col("id") / 8).cast("decimal(10,3)").alias("d"))
+    small = ordered.Slicing(50, 4, 1000)
+    assert stats.percentiles(df, ["k"], "x", {"p": 25}, slicing=small).head().p == 250
+    assert float(stats.percentiles(df, ["k"], "d", {"p": 25}, slicing=small).head().p) == 31.25
+    assert stats.percentiles(df.limit(0), ["k"], "x", {"p": 25}, slicing=small).count() == 0
+
+
+def test_runs_of_positions(spark):
+    from changetide.operators import runs
+
+    rng = random.Random(9)
+    borders = [runs.BLOCK, runs.SPAN, 3 * runs.SPAN]
+    offsets = {rng.randrange(300) for _ in range(200)} | {b + i for b in borders for i in range(-20, 20) if i % 7}
+    rows = [(t, p, o) for t in "ab" for p in (0, 1) for o in offsets if (o + p) % 11] * 2
+    rows += [("a", None, 3), (None, 0, 3), ("a", 0, None)]
+    frame = spark.createDataFrame(rows, "topic string, partition int, offset long").repartition(5)
+    found = runs.runs_of(frame).collect()
+    held = [(r.topic, r.partition, o) for r in found for o in range(r.first_offset, r.last_offset + 1)]
+    assert sorted(held) == sorted(set(rows[:-3]))
+    assert all(r.first_offset // runs.SPAN == r.last_offset // runs.SPAN == r.span for r in found)
+    ends = {(r.topic, r.partition, r.span, r.last_offset + 1) for r in found}
+    assert not ends & {(r.topic, r.partition, r.span, r.first_offset) for r in found}
+    known = frame.where("offset % 3 = 0")
+    fresh = runs.new_positions(frame, runs.merged_runs(runs.runs_of(known).unionAll(runs.runs_of(known.where("offset < 200")))))
+    got = sorted(map(str, ((r.topic, r.partition, r.offset) for r in fresh.collect())))
+    assert got == sorted(map(str, [r for r in set(rows[:-3]) if r[2] % 3] + rows[-3:]))
+    gaps = {(r.topic, r.partition, o) for r in runs.missing_runs(runs.runs_of(frame)).where("last_offset < 300").collect() for o in range(r.first_offset, r.last_offset + 1)}
+    low = {(t, p): [o for a, b, o in set(rows[:-3]) if (a, b) == (t, p)] for t in "ab" for p in (0, 1)}
+    assert gaps == {(t, p, o) for (t, p), os in low.items() for o in range(min(os), 300) if o not in set(os)} - {
+        (t, p, o) for (t, p), os in low.items() for o in range(max([x for x in os if x < 300]) + 1, 300)
+    }
+    assert runs.runs_of(frame.limit(0)).count() == 0
