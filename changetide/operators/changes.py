@@ -12,6 +12,7 @@ from changetide.functions import values as V
 from changetide.operators import ordered
 from changetide.operators.ingest import envelope_rows
 from changetide.schemas import POSITION_ORDER
+from changetide.sources import keyed
 
 LATEST = ("changed_at", *POSITION_ORDER)
 
@@ -193,10 +194,20 @@ def values_at(
     )
 
 
-def current_state(events: DataFrame, keep_deleted: bool = False) -> DataFrame:
+STATE_KEY = ("table_id", "row_identity")
+STATE_ORDER = ("event_time", *POSITION_ORDER)
+
+
+def merge_state(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Row states with those of a batch merged in, both with positions and deleted rows; the later one stays."""
+    return keyed.newest(stored, batch, STATE_KEY, STATE_ORDER)
+
+
+def current_state(events: DataFrame, keep_deleted: bool = False, positions: bool = False) -> DataFrame:
     """Latest row image per row identity, by event order and not by arrival.
 
-    ``max_by`` keeps one candidate per key and task, so a hot row never gathers in one place.
+    ``max_by`` keeps one candidate per key and task, so a hot row never gathers in one place. With
+    ``positions``, each image tells where it comes from, so that states can be merged.
     """
     rows = envelope_rows(events.where(F.col("row_identity").isNotNull()))
     order = F.struct("event_time", *POSITION_ORDER)
@@ -209,6 +220,7 @@ def current_state(events: DataFrame, keep_deleted: bool = False) -> DataFrame:
                 "operation",
                 "event_time",
                 V.canonical_json(F.col("after_row")).alias("row"),
+                *(POSITION_ORDER if positions else ()),
             ).alias("image"),
         )
         .groupBy("table_id", "row_identity")

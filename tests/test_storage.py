@@ -290,3 +290,75 @@ def test_shared_checkpoint_folder(spark, monkeypatch):
     assert checkpoint_dir(Session(), "/fallback") == "/fallback"
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_merging_by_key_leaves_the_stored_side_in_place(spark, tmp_path):
+    from changetide.sources import keyed
+
+    name = f"{keyed.database(spark, str(tmp_path))}.t"
+    make = lambda rows: spark.createDataFrame(rows, "k long, j string, v int, t long")
+    keep = lambda old, new: keyed.newest(old, new, ("k", "j"), ("t",))
+    keyed.merge(spark, name, make([(i, "a", 0, 10) for i in range(50)]), ("k", "j"), 8, keep)
+    batch = make([(1, "a", 1, 11), (2, "a", 1, 9), (3, "a", 1, 10), (99, "b", 1, 0)])
+    plan = keyed.merged(spark, name, batch, keep)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    keyed.merge(spark, name, batch, ("k", "j"), 8, keep)
+    got = {(r.k, r.j): (r.v, r.t) for r in spark.table(name).collect()}
+    assert len(got) == 51 and got[1, "a"] == (1, 11) and got[2, "a"] == (0, 10) and got[3, "a"] == (1, 10)
+    assert got[99, "b"] == (1, 0) and spark.table(name).columns == ["k", "j", "v", "t"]
+    spark.sql(f"DROP DATABASE {name.split('.')[0]} CASCADE")
+
+
+def test_retention_passes_over_unfinished_batches(spark, tmp_path, landed):
+    from datetime import timedelta
+
+    from conftest import flat
+
+    from changetide.streaming import ingestion, tables
+
+    root = f"{tmp_path}/tables"
+    rows = [("o.s", 0, i, flat("c", after={"id": i}, ts_ms=1_700_000_000_000 + i * 10 * 86_400_000)) for i in range(12)]
+    ingestion.store_batch(root)(landed(rows), 0)
+    broken = tables.read_log(spark, root, "events").withColumn("topic", F.lit("broken"))
+    tables.begin(spark, root, 1)
+    tables.write_batch(broken, root, "events", 1)  # and there it broke off
+    assert tables.read_log(spark, root, "events").count() == 12
+    visible = lambda: tables.read_log(spark, root, "events").drop("seq")
+    now = datetime(2024, 1, 20, tzinfo=UTC)
+    policy = retention.Policy("events", "capture_time", 10)
+    before = visible().where(F.col("capture_time") < F.lit(now - timedelta(days=10))).count()
+    archive = f"{tmp_path}/archive"
+    retention.drop_months(spark, f"{root}/events", datetime(2024, 1, 1, tzinfo=UTC), archive, now, visible())
+    retention.expire_boundary(spark, f"{root}/events", policy, now, f"{tmp_path}/stage", archive, visible())
+    assert 0 < before < 12 and tables.read_log(spark, root, "events").count() == 12 - before
+    lines = [json.loads(x) for f in glob.glob(f"{archive}/*/*.txt") for x in open(f)]
+    assert len(lines) == before and {x["topic"] for x in lines} == {"o.s"}
+    tables.publish(spark, root, 1)  # had it gone on, nothing of it would be missing
+    assert tables.read_log(spark, root, "events").where("topic = 'broken'").count() == 12
+
+
+def test_folding_and_removing_batches(spark, tmp_path, landed):
+    from conftest import flat
+
+    from changetide.streaming import ingestion, tables
+
+    root = f"{tmp_path}/tables"
+    store = ingestion.store_batch(root)
+    for batch in range(2):
+        store(landed([("o.s", 0, i, flat("c", after={"id": i})) for i in range(batch * 5, batch * 5 + 5)]), batch)
+    for name in ("events", "positions", "monitored_columns", "ingestion_counters"):
+        before = tables.read_log(spark, root, name).drop("batch_id", "seq")
+        tables.compact(spark, root, name)
+        assert tables.read_log(spark, root, name).select("batch_id").distinct().count() == 1
+        assert name != "events" or sorted(map(str, before.collect())) == sorted(
+            map(str, tables.read_log(spark, root, name).drop("batch_id", "seq").collect())
+        )
+        tables.vacuum(spark, root, name)
+        tables.compact(spark, root, name)  # nothing to fold
+    runs = tables.read_log(spark, root, "positions").collect()
+    assert [(r.first_offset, r.last_offset) for r in runs] == [(0, 9)]
+    assert not tables.begin(spark, root, 0)  # folded, hence complete
+    store(landed([("o.s", 0, i, flat("c", after={"id": i})) for i in range(8, 12)]), 2)
+    assert tables.read_log(spark, root, "events").count() == 12
+    counted = tables.counters(spark, root).head()
+    assert (counted.consumed, counted.processed, counted.duplicate, counted.failed) == (14, 12, 2, 0)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from changetide.functions import values
 from changetide.operators import catalog, ingest, search
+from changetide.session import work_folder
+from changetide.sources import keyed
 from workload.samples import CDC, TYPES, Registry, events, parsed, table
 
 queries = Registry()
@@ -197,6 +199,27 @@ def upsert_columns(spark, sf):
     )
 
 
+@queries.add(
+    "upsert_columns_stored",
+    CDC
+    + """SELECT 'public.' || event_type AS table_name, col AS column_name, typ AS data_type, col <> 'id' AS audit_enabled
+FROM (SELECT DISTINCT event_type FROM g), (VALUES ('id', 'integer'), ('event_type', 'string'), ('value', 'number'), ('old', 'text')) AS t(col, typ)""",
+)
+def upsert_columns_stored(spark, sf):
+    """The same on a table stored by key, which stays where it is."""
+    rows = parsed(spark, sf)
+    found = catalog.discover_columns(rows).where("column_name <> 'k'")
+    known = found.where("column_name = 'id'").withColumns({"data_type": F.lit("text"), "audit_enabled": F.lit(False)})
+    old = known.withColumns({"column_name": F.lit("old"), "audit_enabled": F.lit(True)})
+    name = f"{keyed.database(spark, work_folder(spark))}.columns"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = ("table_id", "column_name")
+    for batch in (known.unionByName(old), found):
+        keyed.merge(spark, name, batch, key, buckets, catalog.upsert_columns)
+    names = catalog.discover_tables(rows).select("table_id", "table_name")
+    return spark.table(name).join(names, "table_id").select("table_name", "column_name", "data_type", "audit_enabled")
+
+
 @queries.add(
     "tables_with_columns",
     CDC

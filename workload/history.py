@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from changetide.functions import origin
 from changetide.operators import catalog, changes, ordered, search
+from changetide.session import work_folder
+from changetide.sources import keyed
 from workload.samples import CDC, CHANGES, Registry, events, millis, stored
 
 queries = Registry()
@@ -196,6 +198,25 @@ def current_state(spark, sf):
     )
 
 
+@queries.add(
+    "state_by_merges",
+    CDC
+    + _STATE
+    + """SELECT event_type AS table_id, '{"id":' || id_json || '}' AS row_identity, operation, ms AS event_ms FROM s WHERE rn = 1 AND op <> 'd'""",
+)
+def state_by_merges(spark, sf):
+    """Row states kept in a table by key, batch after batch, each out of order with the others."""
+    name = f"{keyed.database(spark, work_folder(spark))}.states"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = stored(spark, sf).withColumn("table_id", F.split_part("topic", F.lit("."), F.lit(3)))
+    for batch in (2, 0, 1):
+        states = changes.current_state(rows.where(F.col("offset") % 3 == batch), keep_deleted=True, positions=True)
+        keyed.merge(spark, name, states, changes.STATE_KEY, buckets, changes.merge_state)
+    return spark.table(name).where("operation <> 'DELETE'").select(
+        "table_id", "row_identity", "operation", millis("event_time", "event_ms")
+    )
+
+
 @queries.add(
     "field_timeline",
     CHANGES
