@@ -146,7 +146,6 @@ def quota_batch(
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tables.create_tables(spark, root)
         start = quota.window_start(F.col(rules["arrival"]), rules["window_seconds"])
         first = batch.agg(F.min(start).alias("t")).head().t
         used = tables.used_quota(spark, root, before=batch_id, since=F.lit(first))
