@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changetide.llm.scratch import stored
+from changetide.llm.scratch import columns_of, stored
 
 # The kinds and what makes a match of each; lookarounds keep runs from being tried twice.
 KINDS = ("email", "ip", "card", "phone")
@@ -152,18 +152,26 @@ def _patterns(units: DataFrame) -> DataFrame:
 
 
 def _followed(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand anywhere in the corpus."""
+    """(pattern, total): how often each pattern's words stand anywhere in the corpus.
+
+    Every word is laid out once, beside the one before it. Only words that end a pattern go on, so pairs
+    are put together for these alone."""
     words = F.filter(F.split(F.lower(F.col(text_col).cast("string")), rf"[{WHITE}]+"), lambda w: w != "")
-    rows = docs.select(words.alias("words"))
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    pairs = F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0)))
-    spread = rows.select(F.explode("words").alias("pattern")).unionAll(rows.select(F.explode(pairs).alias("pattern")))
-    if patterns.count() <= BROADCAST_PATTERNS:
+    rows = docs.select(words.alias("words")).where(F.size("words") > 0)
+    beside = F.arrays_zip(
+        F.concat(F.array(F.lit("")), F.slice("words", 1, F.size("words") - 1)).alias("before"), F.col("words").alias("word")
+    )
+    laid = rows.select(F.inline(beside))
+    ends = patterns.select(F.element_at(F.split("pattern", " "), -1).alias("word")).distinct()
+    few = patterns.count() <= BROADCAST_PATTERNS
+    laid = laid.join(F.broadcast(ends) if few else ends, "word", "left_semi")
+    pair = F.when(F.col("before") != "", F.concat_ws(" ", "before", "word"))
+    spread = laid.select(F.explode(F.array("word", pair)).alias("pattern")).where("pattern is not null")
+    if few:
         spread = spread.join(F.broadcast(patterns), "pattern", "left_semi")
-    else:
-        spread = spread.groupBy("pattern").agg(F.count("*").alias("n")).join(patterns, "pattern", "left_semi")
-        return spread.select("pattern", F.col("n").alias("total"))
-    return spread.groupBy("pattern").agg(F.count("*").alias("total"))
+        return spread.groupBy("pattern").agg(F.count("*").alias("total"))
+    spread = spread.groupBy("pattern").agg(F.count("*").alias("n")).join(patterns, "pattern", "left_semi")
+    return spread.select("pattern", F.col("n").alias("total"))
 
 
 def discovered(
@@ -260,7 +268,7 @@ def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
     cuts = cuts.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("cuts"))
     text = F.col(text_col).cast("string")
     able = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    names = docs.columns
+    names = columns_of(docs)
     plain = docs.where(~able)
     keys = row_keys(id_col, text_col)
     held = docs.where(able).withColumns({"__h1": keys[0], "__h2": keys[1]})

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changetide.session import checkpoint_dir
@@ -38,5 +38,10 @@ def drawn(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
     return thinned.orderBy("__place", *keys).limit(rows).drop("__place")
 
 
+def columns_of(frame: DataFrame) -> list[Column]:
+    """All columns, whatever their names are made of."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in frame.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
