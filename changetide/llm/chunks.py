@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from changetide.llm.scratch import columns_of
 from xxhash import xxh3_128_intdigest
 
 BITS = 5
@@ -144,4 +146,4 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
         lambda z: F.substring(text, (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int")),
     )
     cleaned = F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn(text_col, cleaned).select(docs.columns)
+    return joined.withColumn(text_col, cleaned).select(columns_of(docs))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changetide.llm.scratch import stored
+from changetide.llm.scratch import columns_of, stored
 
 BITS = 14
 SIZE = 1 << BITS
@@ -276,4 +276,4 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.4, text_col: st
     """The rows of docs, as they are, whose language is told with some certainty."""
     predict = predictor(docs, model)
     told = docs.withColumn("__language", predict(F.col(text_col).cast("string")))
-    return told.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)).select(docs.columns)
+    return told.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)).select(columns_of(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from changetide.llm.scratch import stored
+from changetide.llm.scratch import columns_of, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 RUN_ROWS = 50_000
@@ -207,4 +207,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     keyed = docs.withColumn("__text", F.xxhash64(F.col(text_col).cast("string")))
     both = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark"))
     joined = keyed.join(plan, both)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(columns_of(docs))
