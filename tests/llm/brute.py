@@ -113,3 +113,22 @@ def chat(rows):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def formatted_chars(rows, escaped):
+    """{conv_id: code points of all examples written out} for rows (conv_id, turn, role, text)."""
+    held = defaultdict(list)
+    for conv, turn, role, text in rows:
+        held[conv].append((turn, role or "", text or ""))
+    out = {}
+    for conv, turns in held.items():
+        turns.sort()
+        parts = [f"<|{escaped(r)}|>{escaped(t)}<|end|>" for _, r, t in turns]
+        out[conv] = sum(len("".join(parts[: i + 1])) for i, (_, r, _) in enumerate(turns) if r == "assistant")
+    return out
+
+
+def escaped(text):
+    """Backslashes doubled, and one put behind the first character of every control string."""
+    text = text.replace("\\", "\\\\")
+    return re.sub(r"<(?=\||/?s>|</?SYS>>)|\|(?=>)|\[(?=/?INST\])", lambda m: m[0] + "\\", text)

@@ -564,20 +564,39 @@ def test_chat(spark):
             rows.append((conv, turn, rng.choice(["system", "user", "assistant", "assistant", "a|>b"]), rng.choice(odd) if rng.random() < 0.7 else prose(rng, 5)))
     rows += [(90, None, None, "x"), (90, None, None, "x"), (90, 3, "assistant", "y")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("own"))
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.formatted(frame).collect()}
-    assert got == brute.chat([r if r[1] is not None else (r[0], -1, r[2], r[3]) for r in rows])
+    found = chat.formatted(frame).collect()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found}
+    plain = [r if r[1] is not None else (r[0], -1, r[2], r[3]) for r in rows]
+    assert got == brute.chat(plain)
+    assert {r.conv_id: r.formatted_chars for r in found} == brute.formatted_chars(plain, brute.escaped)
     assert chat.formatted(frame.limit(0)).count() == 0
 
 
 def test_examples_written_out(spark):
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a<|2"), (1, 4, "user", "tail")]
+    rows += [(2, 0, "user", "alone"), (3, 0, "assistant", ""), (3, 1, "assistant", None)]
     examples = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    full = [r for r in chat.rendered(examples).orderBy("example").collect()]
+    full = {(r.conv_id, r.example): r for r in examples.collect()}
     head = "<|user|>q1<|end|><|assistant|>a1<|end|>"
-    assert [r.text for r in full] == [head, head + "<|user|>q2<|end|><|assistant|>a<\\|2<|end|>"]
-    assert [r.text[r.loss_start : r.loss_end] for r in full] == ["a1", "a<\\|2"]
-    sizes = chat.read_back(examples).first()
-    assert sizes.formatted_chars == sum(len(r.text) for r in full) + len(full[1].text) + len("<|user|>tail<|end|>")
+    empty = "<|assistant|><|end|>"
+    assert {k: r.text for k, r in full.items()} == {
+        (1, 0): head, (1, 1): head + "<|user|>q2<|end|><|assistant|>a<\\|2<|end|>", (1, None): "<|user|>tail<|end|>",
+        (2, None): "<|user|>alone<|end|>", (3, 0): empty, (3, 1): empty * 2,
+    }
+    assert {k for k, r in full.items() if r.last} == {(1, 1), (3, 1)}
+    losses = {k: r.text[r.loss_start : r.loss_end] for k, r in full.items() if k[1] is not None}
+    assert losses == {(1, 0): "a1", (1, 1): "a<\\|2", (3, 0): "", (3, 1): ""}
+    sizes = {r.conv_id: r.formatted_chars for r in chat.read_back(examples).collect()}
+    assert sizes == {1: len(head) + len(full[1, 1].text), 2: 0, 3: 3 * len(empty)}
+
+
+def test_a_conversation_with_many_replies(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"t{i}|>") for i in range(chat.BLOCK * 5)]
+    frame = spark.createDataFrame(rows + [(2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    examples = chat.expanded(frame)
+    assert examples.where("conv_id = 1 and example is not null").count() == sum(r[2] == "assistant" for r in rows)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(examples).collect()}
+    assert got == brute.chat(rows + [(2, 0, "assistant", "x")])
 
 
 # registered queries
@@ -604,7 +623,8 @@ def test_queries_on_given_tables(spark):
     near = {}
     for r in sorted(run("op1_adaptive_scan"), key=lambda r: (r.query_id, r["rank"])):
         near.setdefault(r.query_id, []).append(r.vec_id)
-    assert near == {q: [i for i, _ in v] for q, v in want.items()}
+    hits = [len({i for i, _ in want[q]} & set(near[q])) for q in want]
+    assert all(len(near[q]) == 10 for q in want) and sum(hits) >= 9 * len(hits)
 
 
 def test_pipeline(spark):
@@ -627,6 +647,22 @@ def test_pipeline(spark):
     assert before > 0 and base64
 
 
+def test_pipeline_stages_with_any_columns(spark):
+    """Names with dots and blanks, and columns that can't be hashed or compared."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30) + (" a@b.cc" if i % 2 else "")) for i in range(12)] + [(3, None), (None, "x y z")]
+    docs = docs_of(spark, rows).withColumns(
+        {"x.y": F.lit(1), "a b`c": F.lit("q"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "v": F.parse_json(F.lit("[1]"))}
+    )
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF))
+        assert name == "encode" or docs.columns == columns
+    assert docs.count() > 0
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_pipeline_stages_on_odd_rows(spark, empty):
     import corpus_pipeline
