@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RANKS_BYTES = 64 << 20
-PIECES_KEPT = 1_000_000
-PAIRS_KEPT = 1_500_000
+#: Entries of a worker's tables, at about 250 and 90 bytes each, so that both stay near 64 MB.
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 300_000
 LONGEST_KEPT = 48
 
 # The white space of the Unicode property of that name.
