@@ -58,6 +58,9 @@ def subscribed_topics(entries: DataFrame) -> DataFrame:
     )
 
 
+# The texts of violations below are fixed values: users' tools look for them.
+
+
 def root_violations(manifests: DataFrame) -> DataFrame:
     """Broken rules of the document itself."""
     m = F.col("manifest")

@@ -250,3 +250,37 @@ def test_runs_of_positions(spark):
         (t, p, o) for (t, p), os in low.items() for o in range(max([x for x in os if x < 300]) + 1, 300)
     }
     assert runs.runs_of(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("slicing", SLICINGS[:2])
+def test_validity_against_a_model(spark, slicing):
+    """Late batches, ties by position, repeated changes and a key with most of the changes."""
+    from datetime import datetime, timezone
+
+    from changetide.operators import validity
+
+    rng = random.Random(12)
+    rows = [
+        (1, "c", "hot" if rng.random() < 0.6 else rng.choice("ab"), rng.randrange(60), 0, i, "t", rng.choice(["x", "y", None]))
+        for i in range(240)
+    ]
+    rows += [(1, "c", None, 5, 0, 900, "t", "z"), (1, "c", "a", None, 0, 901, "t", "z")]
+    schema = "table_id long, column_name string, row_identity string, s long, partition int, offset long, topic string, new_value string"
+    facts = spark.createDataFrame(rows, schema).withColumn("changed_at", F.timestamp_seconds("s"))
+    whole = validity.intervals(facts, slicing=slicing)
+    parts = [validity.intervals(facts.where(F.col("offset") % 3 == i), slicing=slicing) for i in (2, 0, 1)]
+    pieced = validity.merged(validity.merged(parts[0], parts[1], slicing=slicing), parts[2], slicing=slicing)
+    listed = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert listed(whole) == listed(pieced)
+    known = [r for r in rows if r[2] is not None and r[3] is not None]
+    for second in (0, 7, 59, 1000):
+        at = datetime.fromtimestamp(second, tz=timezone.utc)
+        got = {r.row_identity: (r.new_value, r.offset) for r in validity.snapshot(whole, at).collect()}
+        want = {}
+        for r in sorted((r for r in known if r[3] <= second), key=lambda r: (r[3], r[5])):
+            want[r[2]] = (r[7], r[5])
+        assert got == want
+    lookups = facts.select("table_id", "column_name", "row_identity", F.timestamp_seconds(F.col("s") + 1).alias("at")).dropna()
+    asked = validity.values_at(whole, lookups)
+    assert listed(asked) == listed(changes.values_at(facts.where("row_identity is not null and s is not null"), lookups, slicing=slicing))
+    assert validity.intervals(facts.limit(0)).count() == 0

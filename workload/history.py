@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from changetide.functions import origin
-from changetide.operators import catalog, changes, ordered, search
+from changetide.operators import catalog, changes, ordered, search, validity
 from changetide.session import work_folder
 from changetide.sources import keyed
 from workload.samples import CDC, CHANGES, Registry, events, millis, stored
@@ -133,9 +133,8 @@ SELECT ask, col AS column_name, new_value AS value, ms AS changed_ms, ms IS NOT
 FROM p WHERE rn = 1"""
 
 
-def _bulk(spark, sf, slicing):
-    facts = deltas(spark, sf)
-    lookups = events(spark, sf).select(
+def _asked(spark, sf):
+    return events(spark, sf).select(
         F.col("event_id").alias("ask"),
         origin.table_id(
             F.lit("eventdb"), F.lit("analytics"), F.concat(F.lit("public."), "event_type")
@@ -144,11 +143,56 @@ def _bulk(spark, sf, slicing):
         F.format_string('{"id":%d}', "user_id").alias("row_identity"),
         F.timestamp_micros(F.unix_micros("ts") + 3_600_000_000).alias("at"),
     )
-    return changes.values_at(facts, lookups, slicing=slicing).select(
+
+
+def _bulk(spark, sf, slicing):
+    return changes.values_at(deltas(spark, sf), _asked(spark, sf), slicing=slicing).select(
         "ask", "column_name", "value", millis("changed_at", "changed_ms"), "found"
     )
 
 
+def _history(spark, sf):
+    """Intervals kept in a table by key, from batches that arrive out of order."""
+    name = f"{keyed.database(spark, work_folder(spark))}.intervals"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    facts = deltas(spark, sf)
+    for batch in (1, 2, 0):
+        late = validity.intervals(facts.where(F.col("offset") % 3 == batch))
+        keyed.merge(spark, name, late, validity.KEY, buckets, validity.merged)
+    return spark.table(name)
+
+
+@queries.add("values_at_intervals", CHANGES + _BULK)
+def values_at_intervals(spark, sf):
+    """The same lookups on stored intervals."""
+    return validity.values_at(_history(spark, sf), _asked(spark, sf)).select(
+        "ask", "column_name", "value", millis("changed_at", "changed_ms"), "found"
+    )
+
+
+@queries.add(
+    "snapshot_at_time",
+    CHANGES
+    + """, s AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, col ORDER BY ms DESC, event_id DESC) AS rn
+  FROM h WHERE ms <= 1705276800000)
+SELECT user_id, event_type AS "table", col AS column_name, new_value, ms AS from_ms FROM s WHERE rn = 1""",
+)
+def snapshot_at_time(spark, sf):
+    """Every column of every row as it was at a time: a filter on the stored intervals."""
+    names = events(spark, sf).select("event_type").distinct().select(
+        F.col("event_type").alias("table"),
+        origin.table_id(F.lit("eventdb"), F.lit("analytics"), F.concat(F.lit("public."), "event_type")).alias("table_id"),
+    )
+    found = validity.snapshot(_history(spark, sf), AT).join(names, "table_id")
+    return found.select(
+        F.get_json_object("row_identity", "$.id").cast("bigint").alias("user_id"),
+        "table",
+        "column_name",
+        "new_value",
+        millis("valid_from", "from_ms"),
+    )
+
+
 @queries.add("values_at_bulk", CHANGES + _BULK)
 def values_at_bulk(spark, sf):
     """Row-scoped values for many (row, column, time) lookups at once."""
