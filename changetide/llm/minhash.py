@@ -24,15 +24,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from changetide.llm.components import components
-from changetide.llm.scratch import stored
+from changetide.llm.scratch import columns_of, stored
 from changetide.llm.words import mixed, shingle_set
 
 CHUNK = 4096
+#: Texts whose sets are held at once in a task.
+TEXTS = 256
 ODD_WORDS = 32
 
 
@@ -69,12 +71,19 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(held.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _slices(batches):
+    """Batches of few texts, so that neither side of the exchange with Python holds many sets at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def sketches(docs: DataFrame, width: int, m: int, piece: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, left_pieces, right_pieces) of every row; d1, d2: digest of the set."""
     factors, shifts = _draws(2 * m * piece, seed)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
@@ -91,10 +100,10 @@ def sketches(docs: DataFrame, width: int, m: int, piece: int, seed: int, id_col:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, d1, d2, shingles, odd) of the classes needed: (rep, d1, d2)."""
+    """(rep, d1, d2, n, shingles, odd) of the classes needed: (rep, d1, d2); n: the number of shingles."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingle_set(text, width) for text in batch.column(1).to_pylist()]
             digests = [_digest(f) for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -102,26 +111,39 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
                     batch.column(0),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
+                    pa.array([len(f) for f in found], pa.int64()),
                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
                     pa.array([odd_sketch(f) for f in found], pa.list_(pa.int64())),
                 ],
-                names=["rep", "d1", "d2", "shingles", "odd"],
+                names=["rep", "d1", "d2", "n", "shingles", "odd"],
             )
 
     frame = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     frame = frame.join(needed.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
-    sets = frame.mapInArrow(run, "rep long, d1 long, d2 long, shingles array<long>, odd array<long>")
+    sets = frame.mapInArrow(run, "rep long, d1 long, d2 long, n long, shingles array<long>, odd array<long>")
     return sets.join(needed, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"])
 
 
+def _able(a: str, b: str, percent: int) -> Column:
+    """Can the sets of two rows with columns <prefix>n and <prefix>odd be similar enough? By their sizes, and by
+    their odd sketches, whose difference is a lower bound of theirs; never wrong where it says no."""
+    differ = sum(
+        (F.bit_count(F.get(a + "odd", F.lit(i)).bitwiseXOR(F.get(b + "odd", F.lit(i)))) for i in range(ODD_WORDS)), F.lit(0)
+    )
+    least, most = F.least(a + "n", b + "n"), F.greatest(a + "n", b + "n")
+    return (100 * least >= percent * most) & (differ * (100 + percent) <= (least + most) * (100 - percent))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - F.col("both")
-    least, most = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    joined = pairs.join(a, "a").join(b, "b").where(100 * least >= percent * most)
+    """Of pairs (a, b), those whose sets are similar enough; shingles are compared where sizes and odd
+    sketches leave it open."""
+    held = {
+        side: sets.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "odd", "shingles")))
+        for side in "ab"
+    }
+    joined = pairs.join(held["a"], "a").join(held["b"], "b").where(_able("a_", "b_", percent))
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    either = F.col("a_n") + F.col("b_n") - F.col("both")
     return (
         joined.withColumn("both", both).where(100 * F.col("both") >= percent * either).select("a", "b").distinct()
     )
@@ -207,7 +229,7 @@ def _linkable(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A shingle that no other set holds can't be shared, and a set with too many of these has no
     partner. This settles the members of a big group that were changed too much to be near anyone."""
     key = ["d1", "d2"]
-    own = stored(sets.join(reps, "rep", "left_semi").withColumn("n", F.size("shingles")))
+    own = stored(sets.join(reps, "rep", "left_semi"))
     held = own.select(*key, F.explode("shingles").alias("s")).groupBy("s")
     held = held.agg(F.count("*").alias("sets"), F.min("d1").alias("d1"), F.min("d2").alias("d2"))
     alone = held.where("sets = 1").groupBy(*key).agg(F.count("*").alias("alone"))
@@ -229,14 +251,9 @@ def _near_enough(able: DataFrame, percent: int) -> DataFrame:
         for side in ("a", "b")
     )
     few, rest = few.where("a_label <> main"), rest.drop("main")
-    differ = sum(
-        (F.bit_count(F.get("a_odd", F.lit(i)).bitwiseXOR(F.get("b_odd", F.lit(i)))) for i in range(ODD_WORDS)), F.lit(0)
-    )
-    n = F.col("a_n") + F.col("b_n")
     near = (
         F.expr("a_label <> b_label and (b_label = main or a_rep < b_rep)")
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & (differ * (100 + percent) <= n * (100 - percent))
+        & _able("a_", "b_", percent)
         & (F.get(F.array_intersect("a_l", "b_l"), F.lit(0)) == F.col("key"))
     )
     return few.join(rest, "key").where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
@@ -284,14 +301,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without an id are documents by their text, so they link like others and equal ones are one.
     Of a group the document with the smallest id stays, one without an id only if none has one; of
     its rows, the one with the longest text."""
-    text = F.col(text_col).cast("string")
+    text, own_columns = F.col(text_col).cast("string"), columns_of(docs)
     # ids of their own for rows without one, in [2^62, 2^63), above the usual ids
     own = F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), own))
     near = near_duplicates(keyed, id_col="__key", text_col=text_col)
     # a wordless row of a document is alone in its component; the document's other rows tell its group
     kept = near.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("root")).where("root = __key")
-    order = F.struct(F.coalesce(F.char_length(F.trim(text)), F.lit(-1)), F.xxhash64(*docs.columns))
+    order = F.struct(F.coalesce(F.char_length(F.trim(text)), F.lit(-1)), F.xxhash64(F.to_json(F.struct(*own_columns))))
     # a repeated row becomes one in each task that reads it, before rows are dealt out by key
-    rows = keyed.groupBy("__key").agg(F.max_by(F.struct(*docs.columns), order).alias("__row"))
+    rows = keyed.groupBy("__key").agg(F.max_by(F.struct(*own_columns), order).alias("__row"))
     return rows.join(kept.select("__key"), "__key", "left_semi").select("__row.*")
