@@ -123,7 +123,7 @@ class Index:
             return
         bound = max(1, min(sample_rows, sample_bytes // (8 * self.d)))
         sample = drawn(vectors, bound, "id").select("v").toArrow().column(0).combine_chunks()
-        lists = 1 if self.rows <= 1000 else min(max_lists, int(np.ceil(np.sqrt(self.rows))))
+        lists = min(max_lists, int(np.ceil(np.sqrt(self.rows))))
         self.means = centroids(_matrix(sample, np.float64), lists)
         self.lists = len(self.means)
         self.assigned = stored(self._assigned(vectors))
