@@ -8,7 +8,8 @@ decodes each and checks its version line, headers, lengths, digests and ending.
 
 Null payloads are empty. Equal payloads of min_bytes or more have one response, the smallest id
 (repeated rows of that id are all responses); a null id is never preferred and reads back as null. A
-null url is left out; control characters in one are percent-encoded.
+null url is left out; control characters in one are percent-encoded. Very long payloads are records of
+their own size; one of more than RECORD_BYTES is refused when it is read. An empty table makes no archive.
 """
 
 from __future__ import annotations
