@@ -1,7 +1,9 @@
 """From raw documents to token digests: the stages of a training corpus, each one operator.
 
 Every stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; all but the
-last keep the columns of documents. `run` stores each stage's result and reads it again.
+last keep the columns of documents, others included, whatever their names and types. `run` stores each
+stage's result and reads it again. An empty table passes every stage as an empty one; whole texts are
+read, however long; rows without an id, source or language are rows like others.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told.
+
+    Rows with a null text or without a letter go, as do those told with little certainty. Repeated rows
+    stay or go together. Rows without a language teach nothing; if none has one, all rows go."""
     return langid.accepted(docs, langid.train(docs))
 
 
@@ -29,7 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data replaced by their kind; n_chars follows the text."""
+    """Spans of personal data replaced by their kind; n_chars follows the text, and stays null where it was.
+
+    Null and empty texts stay as they are. Repeated rows are rewritten alike."""
     cleaned = pii.redacted(docs, pii.findings(docs))
     if "n_chars" not in docs.columns:
         return cleaned
@@ -39,12 +46,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null and wordless texts have no size and are left out. A null source is a source. Rows alike in id and
+    text are taken equally often."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, encoded and decoded."""
+    """Token counts and digests of every document, encoded and decoded; a null text is an empty one."""
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
