@@ -176,6 +176,11 @@ class Encoder:
             ids += found
         return ids
 
+    def forget(self) -> None:
+        """Give the memory of the tables back; they fill again as texts are encoded."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -204,6 +209,7 @@ def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, mak
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, *names])
+        own.forget()  # a worker outlives its tasks
 
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     names = [f.split()[0] for f in schema.split(", ")]
