@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changetide.llm.words import slices
+
 MAX_RANKS_BYTES = 64 << 20
 #: Entries of a worker's tables, at about 250 and 90 bytes each, so that both stay near 64 MB.
 PIECES_KEPT = 150_000
@@ -204,7 +206,7 @@ def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, mak
 
     def run(batches):
         own, split = encoder(ranks.value), splitter(pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [make(own, own.encode(split(text or ""))) for text in batch.column(1).to_pylist()]
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changetide.llm.scratch import columns_of, stored
+from changetide.llm.words import slices
 
 BITS = 14
 SIZE = 1 << BITS
@@ -186,7 +187,7 @@ def train(
     def read(batches: Iterator[pa.RecordBatch]):
         """Rows (at, n): documents by bucket, at -1 of all; and (lang, hash) of the texts with a letter."""
         seen, docs_seen = np.zeros(SIZE, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = counts(text)
@@ -229,7 +230,7 @@ def train(
     drawn = rows.join(limits, "lang").where(place <= F.col("limit")).dropDuplicates(["hash", "lang"])
 
     def features(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):  # counts are as long as there are buckets
             found = [counts(t) for t in batch.column(2).to_pylist()]
             keep = [i for i, f in enumerate(found) if f is not None]
             at = [np.flatnonzero(found[i]).astype(np.int32) for i in keep]

@@ -30,11 +30,9 @@ from xxhash import xxh3_128_digest
 
 from changetide.llm.components import components
 from changetide.llm.scratch import columns_of, stored
-from changetide.llm.words import mixed, shingle_set
+from changetide.llm.words import mixed, shingle_set, slices
 
 CHUNK = 4096
-#: Texts whose sets are held at once in a task.
-TEXTS = 256
 ODD_WORDS = 32
 
 
@@ -71,19 +69,12 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(held.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _slices(batches):
-    """Batches of few texts, so that neither side of the exchange with Python holds many sets at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(at, TEXTS)
-
-
 def sketches(docs: DataFrame, width: int, m: int, piece: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, left_pieces, right_pieces) of every row; d1, d2: digest of the set."""
     factors, shifts = _draws(2 * m * piece, seed)
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
@@ -103,7 +94,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
     """(rep, d1, d2, n, shingles, odd) of the classes needed: (rep, d1, d2); n: the number of shingles."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [shingle_set(text, width) for text in batch.column(1).to_pylist()]
             digests = [_digest(f) for f in found]
             yield pa.RecordBatch.from_arrays(

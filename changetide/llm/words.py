@@ -1,4 +1,4 @@
-"""Words and word windows of texts as hashes, inside tasks."""
+"""Texts, words and word windows as hashes, inside tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,15 @@ from xxhash import xxh3_64_intdigest
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
+#: Texts that are worked on, and handed back, at once.
+TEXTS = 256
+
+
+def slices(batches):
+    """Batches of few texts, so that neither side of the exchange with Python holds much derived from them at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
