@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changetide.functions import parsing, signing
-from changetide.operators import catalog, changes, dedupe, feed, ingest, runs, search
+from changetide.operators import catalog, changes, dedupe, feed, ingest, runs, search, substring
 from changetide.session import work_folder
 from changetide.sources import broker, files
 from workload.samples import (
@@ -66,6 +66,33 @@ def documents_ilike(spark, sf):
     return wild.unionByName(literal).select("doc_id", "lang").distinct()
 
 
+@queries.add("events_substring", CDC + """SELECT event_id AS "offset" FROM g WHERE event_type = 'purchase'""")
+def events_substring(spark, sf):
+    """Text search over stored events; purchases are stored first, and the grams brought up to date for the rest."""
+    folder = work_folder(spark)
+    rows = stored(spark, sf).select("offset", "table_name", "raw_payload", "event_time")
+    first = F.coalesce(F.col("table_name") == "public.purchase", F.lit(False))
+    events_at, grams_at = f"{folder}/events", f"{folder}/grams"
+    files.write_table(rows.where(first), events_at, "event_time")
+    substring.grams_by_file(files.read_table(spark, events_at)).write.parquet(grams_at)
+    files.write_table(rows.where(~first), events_at, "event_time")
+    kept = files.read_table(spark, events_at)
+    new = substring.not_indexed(kept, spark.read.parquet(grams_at))
+    substring.grams_by_file(new).write.mode("append").parquet(grams_at)
+    return substring.search_stored(kept, spark.read.parquet(grams_at), 'TABLE":"PUR_HASE"').select("offset")
+
+
+@queries.add("documents_substring", """SELECT doc_id, lang FROM documents WHERE text ILIKE '%th_twh%erly%'""")
+def documents_substring(spark, sf):
+    """Text search over stored documents."""
+    folder = work_folder(spark)
+    table(spark, sf, "documents").write.parquet(f"{folder}/documents")
+    kept = spark.read.parquet(f"{folder}/documents")
+    substring.grams_by_file(kept, "text").write.parquet(f"{folder}/grams")
+    found = substring.search_stored(kept, spark.read.parquet(f"{folder}/grams"), "TH_TWH%erly", column="text")
+    return found.select("doc_id", "lang")
+
+
 @queries.add(
     "events_page",
     CDC + """SELECT event_id AS "offset", op AS event_type FROM g ORDER BY ms DESC, event_id DESC LIMIT 100 OFFSET 50""",
