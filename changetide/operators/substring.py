@@ -47,14 +47,16 @@ def not_indexed(stored: DataFrame, grams: DataFrame, max_files: int = 100_000) -
 
     Known files are left out of the scan, up to `max_files`; the rows of further ones go by an anti-join."""
     known = grams.where("bucket = 0").select("file").distinct()
-    rest = stored.where(~F.col(FILE).isin(_paths(known, max_files)))
+    rest = left_out(stored, known, max_files)
     if known.count() <= max_files:
         return rest
     return rest.withColumn("__file", F.col(FILE)).join(known, F.col("__file") == known["file"], "left_anti").drop("__file")
 
 
-def _paths(files: DataFrame, max_files: int) -> list[str]:
-    return [r["file"] for r in files.orderBy("file").limit(max_files).collect()]
+def left_out(stored: DataFrame, files: DataFrame, max_files: int) -> DataFrame:
+    """The table without (file) files, at most `max_files` of them; Spark drops them when it plans the scan."""
+    paths = [r["file"] for r in files.orderBy("file").limit(max_files).collect()]
+    return stored.where(~F.col(FILE).isin(paths)) if paths else stored
 
 
 def literal_runs(pattern: str) -> list[str]:
@@ -106,6 +108,4 @@ def search_stored(
     The paths of up to `max_files` ruled-out files go into the scan's filter; files beyond that are read
     like those that may hold the term, so the result is the same."""
     pattern = like_pattern(term, escape)
-    without = _paths(ruled_out(grams, pattern), max_files)
-    rows = stored.where(~F.col(FILE).isin(without)) if without else stored
-    return rows.where(F.col(column).ilike(pattern))
+    return left_out(stored, ruled_out(grams, pattern), max_files).where(F.col(column).ilike(pattern))

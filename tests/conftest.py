@@ -25,6 +25,16 @@ def at(seconds=0):
     return datetime.fromtimestamp(1_700_000_000 + seconds, tz=timezone.utc)
 
 
+def files_read(spark, frame):
+    """How many files a scan is planned for."""
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    try:
+        return frame.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 @pytest.fixture
 def landed(spark):
     """Make broker messages from (topic, partition, offset, document) rows."""

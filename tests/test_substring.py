@@ -1,6 +1,7 @@
 """Substring search with grams by file."""
 
 import pytest
+from conftest import files_read
 from pyspark.sql import functions as F
 
 from changetide.operators import search, substring
@@ -27,15 +28,6 @@ def table(spark, tmp_path):
     return put
 
 
-def files_read(spark, frame):
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
-    try:
-        return frame.rdd.getNumPartitions()
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
-
-
 @pytest.mark.parametrize(
     "term, escape, read",
     [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changetide.functions import parsing, signing
 from changetide.operators import catalog, changes, dedupe, feed, ingest, runs, search, substring
 from changetide.session import work_folder
-from changetide.sources import broker, files
+from changetide.sources import broker, curve, files
 from workload.samples import (
     CDC,
     CHANGES,
@@ -134,6 +134,36 @@ def record_timeline(spark, sf):
     return search.newest_first(rows, limit=8).select("offset", "operation")
 
 
+def _by_curve(spark, sf):
+    """Events stored along a curve over record, time and type, and the ranges of their files."""
+    at = f"{work_folder(spark)}/events"
+    rows = stored(spark, sf).select("topic", "partition", "offset", "operation", "event_type", "row_identity", "event_time", "capture_time")
+    rows.write.parquet(f"{at}-raw")
+    columns = ("row_identity", "event_time", "event_type")
+    curve.write_table(spark.read.parquet(f"{at}-raw"), at, "event_time", columns, files=32)
+    kept = files.read_table(spark, at)
+    curve.ranges_by_file(kept, columns).write.parquet(f"{at}-ranges")
+    return kept, spark.read.parquet(f"{at}-ranges")
+
+
+@queries.add("curve_timeline", CDC + """SELECT event_id AS "offset", operation FROM g WHERE user_id = 33""")
+def curve_timeline(spark, sf):
+    """The timeline of a record from the files whose ranges hold it."""
+    kept, ranges = _by_curve(spark, sf)
+    return curve.between(kept, ranges, row_identity=('{"id":33}', '{"id":33}')).select("offset", "operation")
+
+
+@queries.add(
+    "curve_time_range",
+    CDC + """SELECT event_id AS "offset", operation FROM g WHERE ms BETWEEN 1704844800000 AND 1705276800000""",
+)
+def curve_time_range(spark, sf):
+    """The same table by a range of time."""
+    kept, ranges = _by_curve(spark, sf)
+    span = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 15, tzinfo=timezone.utc)
+    return curve.between(kept, ranges, event_time=span).select("offset", "operation")
+
+
 @queries.add("filtered_total", CDC + "SELECT count(*) AS total FROM g WHERE op = 'u'")
 def filtered_total(spark, sf):
     return search.total(search.search_events(stored(spark, sf), event_type="u"))
