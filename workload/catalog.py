@@ -185,7 +185,7 @@ FROM (SELECT DISTINCT event_type FROM g), (VALUES ('id', 'integer'), ('event_typ
 def upsert_columns(spark, sf):
     """Types are refreshed, the audit switch is not, unseen columns stay."""
     rows = parsed(spark, sf)
-    found = catalog.discover_columns(rows).where("column_name <> 'k'")
+    found = catalog.discover_columns(rows).where("column_name <> 'k'").persist()  # small, and used three times
     known = found.where("column_name = 'id'").withColumns(
         {"data_type": F.lit("text"), "audit_enabled": F.lit(False)}
     ).unionByName(
@@ -208,7 +208,7 @@ FROM (SELECT DISTINCT event_type FROM g), (VALUES ('id', 'integer'), ('event_typ
 def upsert_columns_stored(spark, sf):
     """The same on a table stored by key, which stays where it is."""
     rows = parsed(spark, sf)
-    found = catalog.discover_columns(rows).where("column_name <> 'k'")
+    found = catalog.discover_columns(rows).where("column_name <> 'k'").persist()  # small, and used three times
     known = found.where("column_name = 'id'").withColumns({"data_type": F.lit("text"), "audit_enabled": F.lit(False)})
     old = known.withColumns({"column_name": F.lit("old"), "audit_enabled": F.lit(True)})
     name = f"{keyed.database(spark, work_folder(spark))}.columns"
