@@ -7,6 +7,7 @@ from changetide.plans import graph
 from changetide.sources import files
 from changetide.streaming import ingestion, tables
 from tests.conftest import flat
+from workload import samples
 
 
 def _events(landed, n=40):
@@ -80,3 +81,34 @@ def test_changes_tell_of_the_event_that_was_stored(spark, landed, tmp_path, monk
     changed = {r.offset: r.new_value.strip('"') for r in tables.read_log(spark, root, "column_changes").collect()}
     assert len(stored) == 30 and changed == stored
     assert read and all("/tables/events/" in name for name in read)
+
+
+def _landed_events(spark, tmp_path, n=300):
+    kinds = F.element_at(F.array(*map(F.lit, ("click", "view"))), (F.col("id") % 2 + 1).cast("int"))
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 9).alias("user_id"),
+        kinds.alias("event_type"),
+        (F.col("id") / 4).alias("value"),
+        F.format_string('{"k": %d}', "id").alias("props"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_a_scan_prints_no_documents(spark, tmp_path):
+    """One row group is read by one task; documents are made behind the exchange, whoever filters on them."""
+    found = ingest.skip_tombstones(samples.messages(spark, _landed_events(spark, tmp_path)))
+    above, below = _plan(found).split("Exchange", 1)
+    assert "StructsToJson" in above and "StructsToJson" not in below and "get_json_object" not in below
+    assert found.count() == 300 - 3
+
+
+def test_dealing_out_rows_sorts_none(spark, tmp_path):
+    spark.range(500).union(spark.range(500)).union(spark.range(5).select(F.lit(None).cast("long"))).coalesce(1).write.parquet(
+        str(tmp_path / "t")
+    )
+    spread = files.spread(spark.read.parquet(str(tmp_path / "t")), task_rows=50)
+    assert "RoundRobin" not in _plan(spread) and spread.columns == ["id"]
+    assert spread.count() == 1_005 and spread.where("id is null").count() == 5
