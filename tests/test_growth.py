@@ -112,3 +112,22 @@ def test_dealing_out_rows_sorts_none(spark, tmp_path):
     spread = files.spread(spark.read.parquet(str(tmp_path / "t")), task_rows=50)
     assert "RoundRobin" not in _plan(spread) and spread.columns == ["id"]
     assert spread.count() == 1_005 and spread.where("id is null").count() == 5
+
+
+def test_a_batch_is_read_once_for_its_catalog(spark, landed, tmp_path):
+    events = _table(spark, landed, tmp_path)
+    known = catalog.discover_columns(events).where("column_name = 'a'").withColumns(
+        {"audit_enabled": F.lit(False), "column_id": F.lit(7).cast("long")}
+    )
+    spark.createDataFrame(known.collect(), known.schema).write.parquet(str(tmp_path / "known"))
+    old = spark.read.parquet(str(tmp_path / "known"))
+    strange = old.withColumns({"column_name": F.lit("gone")})
+    described, every = graph.catalog_columns(events, old.unionByName(strange))
+    assert _plan(described).count("/events]") == 1 and _plan(every).count("/events]") == 1
+    assert {(r.column_name, r.audit_enabled) for r in described.collect()} == {("id", True), ("a", False)}
+    assert {(r.column_name, r.audit_enabled) for r in every.collect()} == {("id", True), ("a", False), ("gone", False)}
+    tables_found = catalog.discover_tables(events)
+    known_tables = spark.createDataFrame([r.asDict() | {"table_id": 5} for r in tables_found.collect()], tables_found.schema)
+    merged = graph.catalog_tables(events, known_tables.unionByName(known_tables.withColumn("table_name", F.lit("other"))))
+    assert _plan(merged).count("/events]") == 1
+    assert [(r.table_id, r.table_name) for r in merged.collect()] == [(5, "public.orders")]
