@@ -1,13 +1,15 @@
 """What must not grow with the rows: the side of a join that is sent out, work done twice, rows of a task."""
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from changetide.functions import parsing, values
 from changetide.operators import catalog, changes, ingest
 from changetide.plans import graph
 from changetide.sources import files
 from changetide.streaming import ingestion, tables
 from tests.conftest import flat
-from workload import samples
+from workload import lookup, samples
 
 
 def _events(landed, n=40):
@@ -131,3 +133,46 @@ def test_a_batch_is_read_once_for_its_catalog(spark, landed, tmp_path):
     merged = graph.catalog_tables(events, known_tables.unionByName(known_tables.withColumn("table_name", F.lit("other"))))
     assert _plan(merged).count("/events]") == 1
     assert [(r.table_id, r.table_name) for r in merged.collect()] == [(5, "public.orders")]
+
+
+def test_members_that_most_documents_lack(spark):
+    texts = ['{"payload":{"a":1},"k":"0"}', '{"payload":null}', '{"payload":[1]}', '{"k":0}', "[1]", "7", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    doc = values.parse_json(F.col("t"))
+    rows = values.computed(rows, doc=doc)
+    member = values.rare_member(F.col("doc"), "payload")
+    given = values.given(values.text(F.col("doc"), "k"), F.col("doc"), "$.k")
+    found = rows.select(
+        F.to_json(member).alias("rare"), F.to_json(values.member(F.col("doc"), "payload")).alias("plain"),
+        values.is_object(member).alias("object"), F.to_json(parsing.payload_of(F.col("doc"))).alias("payload"), given.alias("k"),
+    ).collect()
+    assert [r.rare for r in found] == [r.plain for r in found] == ['{"a":1}', "null", "[1]", None, None, None, None]
+    assert [r.object for r in found] == [True] + 6 * [False]
+    assert [r.payload for r in found] == ['{"a":1}'] + 6 * [None]
+    assert [r.k for r in found] == ["0"] + 6 * [None]
+
+
+def test_parse_and_discovery_follow_no_path_that_leads_nowhere(spark, landed, tmp_path):
+    messages = landed([("t", 0, 1, flat("u", {"id": 1, "a": None}, {"id": 1, "a": "x"}))])
+    plan = _plan(ingest.parse_messages(messages))
+    assert "$.payload, struct" not in plan and "$.payload.source" not in plan
+    columns = catalog.discover_columns(_table(spark, landed, tmp_path))
+    assert "$.schema" not in _plan(columns) and "$.payload" not in _plan(columns)
+    assert _plan(columns).count("schema_of_variant") <= 2
+
+
+def test_documents_are_stored_in_one_piece(spark, landed, tmp_path):
+    rows = [("t", 0, i, {"a": i, "b": "x"}) for i in range(50)]
+    ingest.parse_messages(landed(rows)).write.parquet(str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert files and not any("typed_value" in str(pq.read_schema(f).field("event_data").type) for f in files)
+
+
+def test_inserted_events_parses_its_batch_once(spark, tmp_path):
+    made = spark.range(40).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "1.5D AS value", "'{\"k\":1}' AS props"
+    )
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    found = lookup.queries["inserted_events"][0](spark, str(tmp_path))
+    assert "parseJson" in _plan(samples.parsed(spark, str(tmp_path))) and "parseJson" not in _plan(found)
+    assert {r.offset for r in found.collect()} == {i for i in range(40) if i % 4 and i % 103}

@@ -374,7 +374,11 @@ def position_gaps(spark, sf):
     CDC + """SELECT event_id AS "offset" FROM m WHERE event_id % 4 <> 0""",
 )
 def inserted_events(spark, sf):
-    rows = parsed(spark, sf)
+    """The batch is parsed once and stored: it is asked three times for its positions."""
+    path = f"{work_folder(spark)}/parsed"
+    made = parsed(spark, sf)
+    made.write.parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path)
     inserted = dedupe.new_positions(rows, rows.where("offset % 4 = 0"))
     return dedupe.inserted_events(rows, inserted).select("offset")
 
