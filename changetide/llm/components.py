@@ -17,8 +17,8 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     else:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
         hung = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = hung.unionAll(least.select("u", F.col("m").alias("v")))
-    return hung.where("u > v").distinct()
+        hung = hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    return hung.where("u > v")
 
 
 def _state(pairs: DataFrame) -> tuple:

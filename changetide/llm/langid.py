@@ -32,6 +32,7 @@ from changetide.llm.words import slices
 BITS = 14
 SIZE = 1 << BITS
 SLICE = 1 << 20
+STEP = 512
 UNKNOWN = "und"
 _FACTORS = tuple(np.uint32(f) for f in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
@@ -66,11 +67,11 @@ def counts(text: str | None) -> np.ndarray | None:
     return total
 
 
-def vector(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(found)
-    weights = (1 + np.log(found[at])) * idf[at]
+def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weights of the buckets at, held so often."""
+    weights = (1 + np.log(n)) * idf[at]
     norm = np.sqrt((weights * weights).sum())
-    return at, weights / norm if norm else weights
+    return weights / norm if norm else weights
 
 
 @dataclass
@@ -82,8 +83,8 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, found: np.ndarray) -> np.ndarray:
-        at, x = vector(found, self.idf)
-        return x @ self.weights[at] + self.bias
+        at = np.flatnonzero(found)
+        return weighted(at, found[at], self.idf) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = counts(text) if self.languages else None
@@ -123,15 +124,9 @@ class Ftrl:
 
 
 def fit(rows: list, languages: list[str], idf: np.ndarray, epochs: int, alpha: float, l1: float, l2: float) -> Model:
-    """rows: (language, buckets, counts) in a fixed order."""
+    """rows: (language, buckets, counts) in a fixed order. Weights are worked out when a row is visited, not kept."""
     place = {name: i for i, name in enumerate(languages)}
-
-    def dense(at, n):
-        found = np.zeros(SIZE, np.int64)
-        found[at] = n
-        return found
-
-    data = [(place[name], *vector(dense(at, n), idf)) for name, at, n in rows]
+    data = [(place[name], at, n) for name, at, n in rows]
     heard = {d[0] for i, d in enumerate(data) if i % 5 != 4}
     kept_back = [d for i, d in enumerate(data) if i % 5 == 4 and d[0] in heard]
     learned = [d for i, d in enumerate(data) if i % 5 != 4 or d[0] not in heard]
@@ -140,14 +135,14 @@ def fit(rows: list, languages: list[str], idf: np.ndarray, epochs: int, alpha: f
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for i in rng.permutation(len(learned)):
-            label, at, x = learned[i]
-            state.step(np.append(at, SIZE), np.append(x, 1.0), label)
+            label, at, n = learned[i]
+            state.step(np.append(at, SIZE), np.append(weighted(at, n, idf), 1.0), label)
     w = np.empty((SIZE + 1, len(languages)), np.float32)
-    for i in range(0, SIZE + 1, 512):  # in parts, as many languages make it large
-        w[i : i + 512] = state.weights(slice(i, i + 512))
+    for i in range(0, SIZE + 1, STEP):  # in parts, as many languages make it large
+        w[i : i + STEP] = state.weights(slice(i, i + STEP))
     model = Model(languages, idf.astype(np.float32), w[:SIZE], w[SIZE])
     if kept_back and len(languages) > 1:
-        logits = np.stack([x @ model.weights[at] + model.bias for _, at, x in kept_back])
+        logits = np.stack([weighted(at, n, idf) @ model.weights[at] + model.bias for _, at, n in kept_back])
         labels = np.array([d[0] for d in kept_back])
         model.temperature = calibrated(logits, labels)
     return model
@@ -245,13 +240,35 @@ def train(
             )
 
     drawn = drawn.select("hash", "lang", "text").mapInArrow(features, "hash long, lang string, at array<int>, n array<int>")
-    sample = drawn.toArrow().sort_by([("hash", "ascending"), ("lang", "ascending")])
-    columns = [sample.column(c).combine_chunks() for c in ("lang", "at", "n")]
-    data = [(columns[0][i].as_py(), columns[1][i].values.to_numpy(), columns[2][i].values.to_numpy()) for i in range(len(sample))]
-    languages = sorted({d[0] for d in data})
-    if not data:
+    def learn(batches: Iterator[pa.RecordBatch]):
+        """The model of the whole sample: weights of STEP buckets a row, as bytes."""
+        data = []
+        for batch in batches:
+            hashes, langs, at, n = (batch.column(c) for c in ("hash", "lang", "at", "n"))
+            data += [
+                (hashes[i].as_py(), langs[i].as_py(), at[i].values.to_numpy(), n[i].values.to_numpy())
+                for i in range(batch.num_rows)
+            ]
+        data = [d[1:] for d in sorted(data, key=lambda d: d[:2])]
+        if not data:
+            return
+        model = fit(data, sorted({d[0] for d in data}), idf, epochs, alpha, l1, l2)
+        for i in range(0, SIZE, STEP):
+            first = [model.bias.tobytes(), model.languages] if i == 0 else [None, None]
+            row = [i, model.weights[i : i + STEP].tobytes(), *first, model.temperature]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.float64()]
+            names = ["at", "weights", "bias", "languages", "temperature"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+    # the sample is bounded and learned from in one task, so the driver holds the model alone
+    kind = "at int, weights binary, bias binary, languages array<string>, temperature double"
+    parts = sorted(drawn.repartition(1).mapInArrow(learn, kind).collect(), key=lambda p: p["at"])
+    if not parts:
         return Model([], idf, np.zeros((SIZE, 0)), np.zeros(0))
-    return fit(data, languages, idf, epochs, alpha, l1, l2)
+    languages = parts[0]["languages"]
+    weights = np.frombuffer(b"".join(p["weights"] for p in parts), np.float32).reshape(SIZE, len(languages))
+    bias = np.frombuffer(parts[0]["bias"], np.float32)
+    return Model(languages, idf.astype(np.float32), weights, bias, parts[0]["temperature"])
 
 
 def predictor(docs: DataFrame, model: Model):

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -265,6 +266,29 @@ def test_language(spark):
     assert langid.identified(docs.limit(0), langid.train(docs.limit(0))).count() == 0
 
 
+def test_the_sample_stays_off_the_driver(spark, monkeypatch):
+    rows = lang_rows(150)
+    docs = docs_of(spark, rows).repartition(5)
+    sample = sorted(
+        (r.hash, r.lang, langid.counts(r.text))
+        for r in docs.where(~langid.held_out("doc_id")).withColumn("hash", F.xxhash64("text")).collect()
+    )
+    total = sum((c > 0).astype(np.int64) for _, _, c in sample)
+    idf = np.log((1 + len(sample)) / (1 + total)) + 1
+    data = [(lang, np.flatnonzero(c), c[np.flatnonzero(c)]) for _, lang, c in sample]
+    plain = langid.fit(data, ["aa", "bb", "cc"], idf, 4, 0.5, 0.02, 0.01)
+
+    def in_a_task(*args, fit=langid.fit):
+        assert TaskContext.get() is not None, "the driver learns from the sample"
+        return fit(*args)
+
+    monkeypatch.setattr(langid, "fit", in_a_task)
+    model = langid.train(docs)
+    assert model.languages == plain.languages and model.temperature == plain.temperature
+    assert np.array_equal(model.weights, plain.weights) and np.array_equal(model.bias, plain.bias)
+    assert langid.identified(docs, model).count() == len(rows)
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = lang_rows(120)
     docs = docs_of(spark, rows)
