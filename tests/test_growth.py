@@ -49,6 +49,17 @@ def test_a_document_is_printed_once_for_its_masks(spark, landed, tmp_path):
     assert plan.count("StructsToJsonEvaluator") == 1
 
 
+def test_a_row_is_filtered_once_for_its_identity(spark, landed, tmp_path):
+    identified = ingest.with_row_identity(_table(spark, landed, tmp_path))
+    plan = identified.select("offset", "row_identity")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_filter") == 1
+    assert {r.row_identity for r in identified.collect()} == {f'{{"id":{i}}}' for i in range(40)}
+    events = ingest.parse_messages(landed([("d.p.t", 0, i, flat("u", b, a)) for i, (b, a) in enumerate([
+        ({"id": 1}, None), ({"id": 1}, {"id": None}), ({"a": 1}, {"a": 2}), (None, None), ({"id": 1}, {"Uid": 2, "x": 0})])]))
+    found = {r.offset: r.row_identity for r in ingest.with_row_identity(events).collect()}
+    assert found == {0: '{"id":1}', 1: None, 2: None, 3: None, 4: '{"Uid":2}'}
+
+
 def test_tasks_grow_with_rows_whatever_the_splits(spark, tmp_path):
     spark.range(5_000).coalesce(1).write.parquet(str(tmp_path / "t"))
     spread = files.spread(spark.read.parquet(str(tmp_path / "t")), task_rows=250)
